@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loopscope.llm.tables import table
 
@@ -20,6 +21,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopscope.llm import langid
+
+    docs, part = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3
+    found = langid.predict(docs, langid.fit(docs, part != 1))
+    return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopscope.llm import quality
+
+    docs, part = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"), part != 0)
+    return quality.score(docs, rules).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
