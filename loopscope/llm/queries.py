@@ -37,9 +37,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, rules).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopscope.llm.contamination import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from loopscope.llm import contamination
+
+    return {"op5_decontamination": contamination.ORACLE_SQL}
