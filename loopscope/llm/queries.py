@@ -49,11 +49,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopscope.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), entropy=0.95)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from loopscope.llm import contamination
+    from loopscope.llm import contamination, mixing
 
-    return {"op5_decontamination": contamination.ORACLE_SQL}
+    return {"op5_decontamination": contamination.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
