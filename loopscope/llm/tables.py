@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The input table ``name`` under ``sf_dir``, by whatever file system the path names."""
@@ -46,7 +48,13 @@ class Stored:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = new_folder(self.spark, label)
-        df.write.parquet(self.path)
+        # What was shuffled for this table is of no use once it is written.
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
