@@ -67,6 +67,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopscope.llm.substring import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents"), texts=False)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
