@@ -73,6 +73,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopscope.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
