@@ -7,26 +7,27 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Units of times and sizes.
 NS_UNITS, BYTE_UNITS = ("ns", "us", "ms", "s"), ("B", "KB", "MB", "GB", "TB")
 
 
 def _ladder(x: Column, step: int, units: tuple[str, ...], strict: bool) -> Column:
-    """x over the largest power of ``step`` that leaves it at 1 (or over 1) and the unit of that power."""
-    out = F.format_string(f"%.2f {units[0]}", x)
-    for k, unit in enumerate(units[1:], 1):
-        over = x > float(step**k) if strict else x >= float(step**k)
-        out = F.when(over, F.format_string(f"%.2f {unit}", F.round(x / float(step**k), 2))).otherwise(out) if k == 1 else F.when(over, F.format_string(f"%.2f {unit}", F.round(x / float(step**k), 2))).otherwise(out)
+    """x over the largest power of ``step`` that leaves it at 1 (or over 1), to 2 digits, and the unit of that power."""
+    out = None
+    for k, unit in enumerate(units):
+        text = F.concat(F.round(x / float(step**k), 2).cast("string"), F.lit(unit))
+        out = text if out is None else F.when(x > float(step**k) if strict else x >= float(step**k), text).otherwise(out)
     return out
 
 
 def scale_time(ns: Column) -> Column:
     """Nanoseconds as text, over 1000 while at least that."""
-    return _ladder(F.round(ns.cast("double"), 2), 1000, NS_UNITS, False)
+    return _ladder(ns.cast("double"), 1000, NS_UNITS, False)
 
 
 def scale_bytes(n: Column, collective: bool = False) -> Column:
     """Sizes as text: messages over 1024 while more than that, collective calls over 1000 while at least that; zero is a dash."""
-    text = _ladder(F.round(n.cast("double"), 2), 1000 if collective else 1024, BYTE_UNITS, not collective)
+    text = _ladder(n.cast("double"), 1000 if collective else 1024, BYTE_UNITS, not collective)
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit("-")).otherwise(text)
 
 

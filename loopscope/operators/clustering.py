@@ -23,8 +23,8 @@ def eps_components(points: DataFrame, x: str, y: str, eps: float, out: str = "co
     around it, and equal points count once.
     """
     side = eps / math.sqrt(2)
-    cell = F.struct(F.floor(F.col(x) / side).alias("i"), F.floor(F.col(y) / side).alias("j"))
-    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("px"), F.col(y).alias("py")).distinct().withColumn("cell", cell)
+    cell_of = lambda a, b: F.struct(F.floor(F.col(a) / side).alias("i"), F.floor(F.col(b) / side).alias("j"))
+    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("px"), F.col(y).alias("py")).distinct().withColumn("cell", cell_of("px", "py"))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3) if (a, b) > (0, 0)])
     sent = own.withColumn("s", F.explode(steps)).select("px", "py", F.col("cell").alias("of"), F.struct((F.col("cell.i") + F.col("s.a")).alias("i"), (F.col("cell.j") + F.col("s.b")).alias("j")).alias("cell"))
     near = sent.join(own.select("cell", F.col("px").alias("qx"), F.col("py").alias("qy")), "cell").where((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= eps * eps)
@@ -41,7 +41,7 @@ def eps_components(points: DataFrame, x: str, y: str, eps: float, out: str = "co
         parent[b] = a
     number = {c: k for k, c in enumerate(sorted({root(c) for c in parent}))}
     named = points.sparkSession.createDataFrame([(i, j, number[root((i, j))]) for i, j in parent] or [], f"_i long, _j long, {out} int")
-    return points.withColumn("_c", cell).join(F.broadcast(named), (F.col("_c.i") == F.col("_i")) & (F.col("_c.j") == F.col("_j")), "left").drop("_c", "_i", "_j")
+    return points.withColumn("_c", cell_of(x, y)).join(F.broadcast(named), (F.col("_c.i") == F.col("_i")) & (F.col("_c.j") == F.col("_j")), "left").drop("_c", "_i", "_j")
 
 
 def in_first_member_order(rows: DataFrame, component: str, order: str, out: str = "cluster_id") -> DataFrame:

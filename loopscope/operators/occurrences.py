@@ -10,7 +10,7 @@ def coalesce_instants(events: DataFrame, keys: list[str], t: str, order: str, va
     """One row per key and instant, with what its lines hold in the order of the lines."""
     item = F.struct(order, *values)
     found = events.groupBy(*keys, t).agg(F.sort_array(F.collect_list(item)).alias("_l"), F.count("*").alias("n_lines"))
-    return found.select(*keys, t, "n_lines", *[F.transform("_l", lambda x, v=v: x[v]).alias(v) for v in values])
+    return found.select(*keys, t, "n_lines", *[F.col("_l").getField(v).alias(v) for v in values])
 
 
 def backward_steps(rows: DataFrame, keys: list[str], order: str, t: str) -> DataFrame:
