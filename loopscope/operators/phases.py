@@ -50,15 +50,19 @@ def near_distance(x: Column, y: Column, c: Column, steps: int = 2) -> Column:
     return F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(a * b / F.sqrt(a * a + b * b))
 
 
-@F.pandas_udf("double")
-def exact_distance(x: pd.Series, y: pd.Series, c: pd.Series) -> pd.Series:
+def exact_distance(x: Column, y: Column, c: Column) -> Column:
     """How far (x, y) is from x * y = c, by the real roots of 2u^4 - 2xu^3 + 2ycu - 2c^2."""
-    out = []
-    for a, b, k in zip(x, y, c, strict=True):
-        roots = np.roots([2, -2 * a, 0, 2 * b * k, -2 * k * k])
-        u = roots[(np.abs(roots.imag) < 1e-6 * (1 + np.abs(roots))) & (roots.real > 0)].real
-        out.append(float(np.sqrt(np.min((u - a) ** 2 + (k / u - b) ** 2))) if len(u) else None)
-    return pd.Series(out, dtype="float64")
+
+    @F.pandas_udf("double")
+    def nearest_root(x: pd.Series, y: pd.Series, c: pd.Series) -> pd.Series:
+        out = []
+        for a, b, k in zip(x, y, c, strict=True):
+            roots = np.roots([2, -2 * a, 0, 2 * b * k, -2 * k * k])
+            u = roots[(np.abs(roots.imag) < 1e-6 * (1 + np.abs(roots))) & (roots.real > 0)].real
+            out.append(float(np.sqrt(np.min((u - a) ** 2 + (k / u - b) ** 2))) if len(u) else None)
+        return pd.Series(out, dtype="float64")
+
+    return nearest_root(x, y, c)
 
 
 def near_points(points: DataFrame, distance: str, epsilon: float) -> DataFrame:
