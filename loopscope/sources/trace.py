@@ -35,7 +35,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _field(k: int, kind: str = "bigint") -> Column:
-    return F.get(F.col("f"), F.lit(k)).cast(kind)
+    return F.get(F.col("f"), F.lit(k)).try_cast(kind)
 
 
 def _records(rows: DataFrame, first: str) -> DataFrame:
@@ -129,7 +129,7 @@ def counter_name(type_name: Column) -> Column:
 def split_kinds(rows: DataFrame) -> DataFrame:
     """``rows`` with kind (info, comm, task) and task: the part of a split trace that each line goes to. Communicator lines go nowhere."""
     kind = F.when(F.col("value").startswith("#"), "info").when(F.col("value").startswith("3:"), "comm").when(F.col("value").rlike("^[12]:"), "task")
-    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull()).withColumn("task", F.get(F.split("value", ":"), F.lit(3)).cast("int"))
+    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull()).withColumn("task", F.get(F.split("value", ":"), F.lit(3)).try_cast("int"))
 
 
 def write_split(rows: DataFrame, path: str) -> None:
