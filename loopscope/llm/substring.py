@@ -36,6 +36,8 @@ CUT, SHARD = 1000, 20_000
 KEPT_WORDS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd bases of the two hashes of a stretch.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class _Hashes(dict):
@@ -69,6 +71,15 @@ def stretches(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) ->
     return grams[at[first]], first, np.diff(np.append(first, len(at)))
 
 
+def _sums(hashes: np.ndarray, base: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the ``size`` words from each ``start``: differences of running polynomial sums."""
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(hashes) + 1, base, np.uint64))
+        back = np.cumprod(np.full(len(hashes) + 1, pow(base, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1])])
+        return _mixed((sums[start + size] - sums[start]) * back[start] + size.astype(np.uint64))
+
+
 def _hashed(words: list[bytes], known: _Hashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
@@ -164,30 +175,31 @@ def _anchors(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 def _stretches(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """The stretches at the anchors listed in ``shared`` and the windows at those in ``cut``, for each document.
 
-    (route, c1, c2, content, doc, row, at): where it goes, two hashes of its words, the words'
-    hashes, its document and row and its first word.
+    (route, c1, c2, n, content, doc, row, at): where it goes, two hashes of its words, its windows,
+    its words joined by spaces, its document and row and its first word.
     """
-    names = ["route", "c1", "c2", "content", "doc", "row", "at"]
+    names = ["route", "c1", "c2", "n", "content", "doc", "row", "at"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for whole in batches:
             for doc, row, text, shared, cut in zip(*(whole.column(k) for k in range(5)), strict=True):
-                hashes = _hashed(text.as_py().split(), known)
+                words = text.as_py().split()
+                hashes = _hashed(words, known)
                 anchors, first, n = stretches(hashes, window, anchor)
-                in_shared, in_cut = (np.isin(anchors, x.values.to_numpy().view(np.uint64)) if x.is_valid else np.zeros(len(anchors), bool) for x in (shared, cut))
-                single = in_cut.nonzero()[0]
-                windows = np.concatenate([np.arange(first[k], first[k] + n[k]) for k in single]) if len(single) else np.zeros(0, np.int64)
-                starts = np.concatenate([first[in_shared], windows])
-                sizes = np.concatenate([n[in_shared], np.ones(len(windows), np.int64)]) + window - 1
-                parts = [hashes[a : a + s].tobytes() for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                c1 = np.array([xxhash.xxh64_intdigest(p, 1) for p in parts], np.uint64)
-                c2 = np.array([xxhash.xxh64_intdigest(p, 2) for p in parts], np.uint64)
+                in_shared, in_cut = (np.isin(anchors, x.values.to_numpy().view(np.uint64)) for x in (shared, cut))
+                windows = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[k], first[k] + n[k]) for k in in_cut.nonzero()[0])])
+                starts, n = np.concatenate([first[in_shared], windows]), np.concatenate([n[in_shared], np.ones(len(windows), np.int64)])
+                sizes, joined = n + window - 1, b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                begins = np.concatenate([[0], ends + 1])
+                parts = [joined[a:b] for a, b in zip(begins[starts].tolist(), ends[starts + sizes - 1].tolist(), strict=True)]
+                c1, c2 = (_sums(hashes, base, starts, sizes) for base in _BASES)
                 route = np.concatenate([anchors[in_shared], c1[in_shared.sum() :]])
-                columns = [pa.array(x.view(np.int64)) for x in (route, c1, c2)] + [pa.array(parts, pa.binary())]
+                columns = [pa.array(x.view(np.int64)) for x in (route, c1, c2, n)] + [pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.full(len(parts), x.as_py(), np.int64)) for x in (doc, row)), pa.array(starts)], names)
 
-    return rows.mapInArrow(make, "route long, c1 long, c2 long, content binary, doc long, row long, at long")
+    return rows.mapInArrow(make, "route long, c1 long, c2 long, n long, content binary, doc long, row long, at long")
 
 
 def _searched(window: int):
@@ -195,14 +207,14 @@ def _searched(window: int):
 
     def search(shard: pa.Table) -> pa.Table:
         route, first = shard.column("route").to_numpy(), shard.column("first").to_numpy()
-        contents = [np.frombuffer(x, np.uint64) for x in shard.column("content").to_pylist()]
-        sizes = np.fromiter(map(len, contents), np.int64, len(contents)) - window + 1
+        known, sizes = _Hashes(), shard.column("n").to_numpy()
         owners = np.repeat(first, sizes)
         # A stretch that is alone with its anchor has its windows to itself.
         _, which, many = np.unique(route, return_inverse=True, return_counts=True)
         among = np.flatnonzero(many[which] > 1)
         if len(among):
-            index = FMIndex([contents[k] for k in among], first[among], window)
+            contents = [_hashed(x.split(), known) for x in shard.column("content").take(pa.array(among)).to_pylist()]
+            index = FMIndex(contents, first[among], window)
             places = np.concatenate([np.arange(s, s + sizes[k]) for s, k in zip(index.starts, among, strict=True)])
             at = np.concatenate([[0], np.cumsum(sizes)])
             where = np.concatenate([np.arange(at[k], at[k + 1]) for k in among])
@@ -228,11 +240,11 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     anchors.drop()
     held.drop()
     own = rows.join(listed.df, F.col("doc") == F.col("listed")).select("doc", F.xxhash64("text").alias("row"), "text", "shared", "cut")
-    found = Stored(_stretches(own, window, anchor), "stretches")
+    found = Stored(_stretches(own, window, anchor), "stretches", "zstd")
     listed.drop()
-    different = Stored(found.df.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("route").alias("route"), F.first("content").alias("content")), "different")
+    different = Stored(found.df.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.first("route").alias("route"), F.first("n").alias("n"), F.first("content").alias("content")), "different")
     n_shards = max(1, math.ceil(different.df.count() / SHARD))
-    shards = different.df.select("route", "c1", "c2", "content", "first", F.pmod(F.xxhash64("route"), F.lit(n_shards)).alias("shard"))
+    shards = different.df.select("route", "c1", "c2", "n", "content", "first", F.pmod(F.xxhash64("route"), F.lit(n_shards)).alias("shard"))
     owners = Stored(shards.groupBy("shard").applyInArrow(_searched(window), "s1 long, s2 long, owners array<long>"), "owners")
     different.drop()
     masks = F.expr("aggregate(sequence(0, size(owners) - 1), 0L, (s, k) -> s | if(owners[k] < doc, shiftleft(1L, k), 0L))")

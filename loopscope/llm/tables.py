@@ -45,14 +45,14 @@ class Stored:
     plan reads it.
     """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, compression: str = "snappy"):
         self.spark = df.sparkSession
         self.path = new_folder(self.spark, label)
         # What was shuffled for this table is of no use once it is written.
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(self.path)
+            df.write.option("compression", compression).parquet(self.path)
         finally:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
