@@ -74,17 +74,21 @@ def _bytes_of(nodes: DataFrame, longest: float) -> DataFrame:
 def _handed(batches):
     """From each node's gathered (node, code) list, to each of these the nearest of the others."""
     for whole in batches:
-        for row_nodes, row_codes in zip(whole.column(0), whole.column(1), strict=True):
-            nodes = row_nodes.values.to_numpy()
-            x = np.frombuffer(b"".join(row_codes.values.to_pylist()), np.int8).reshape(len(nodes), -1).astype(np.float32) / 127
-            if len(nodes) < 2:
-                continue
-            near, n = x @ x.T, min(HANDED, len(nodes) - 1)
-            np.fill_diagonal(near, -np.inf)
-            best = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            out = np.empty(best.shape, _FOUND)
-            out["node"], out["near"] = nodes[best], np.take_along_axis(near, best, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([o.tobytes() for o in out], pa.binary())], ["node", "found"])
+        for at in range(0, whole.num_rows, 500):
+            batch, to, found = whole.slice(at, 500), [np.zeros(0, np.int64)], []
+            for row_nodes, row_codes in zip(batch.column(0), batch.column(1), strict=True):
+                nodes = row_nodes.values.to_numpy()
+                if len(nodes) < 2:
+                    continue
+                x = np.frombuffer(b"".join(row_codes.values.to_pylist()), np.int8).reshape(len(nodes), -1).astype(np.float32) / 127
+                near, n = x @ x.T, min(HANDED, len(nodes) - 1)
+                np.fill_diagonal(near, -np.inf)
+                best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+                out = np.empty(best.shape, _FOUND)
+                out["node"], out["near"] = nodes[best], np.take_along_axis(near, best, 1)
+                to.append(nodes)
+                found += [o.tobytes() for o in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), pa.array(found, pa.binary())], ["node", "found"])
 
 
 def _merged(batches):
