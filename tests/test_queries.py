@@ -26,11 +26,10 @@ def plain(frame):
     frame = frame[sorted(frame.columns)]
 
     def text(v):
-        if v is None or isinstance(v, float) and v != v:
+        if v is None or v != v:
             return "NULL"
-        if isinstance(v, float | np.floating):
-            return f"{v:.6g}"
-        return str(int(v)) if isinstance(v, bool | np.bool_ | int | np.integer) else str(v)
+        # Whole numbers with nulls among them come as floats.
+        return f"{float(v):.12g}" if isinstance(v, bool | np.bool_ | int | float | np.integer | np.floating) else str(v)
 
     return sorted(tuple(map(text, r)) for r in frame.astype(object).values.tolist())
 
