@@ -5,6 +5,7 @@ import sys
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from loopscope import queries as catalogue
@@ -26,7 +27,7 @@ def plain(frame):
     frame = frame[sorted(frame.columns)]
 
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "NULL"
         # Whole numbers with nulls among them come as floats.
         return f"{float(v):.12g}" if isinstance(v, bool | np.bool_ | int | float | np.integer | np.floating) else str(v)
