@@ -71,6 +71,14 @@ def stretches(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) ->
     return grams[at[first]], first, np.diff(np.append(first, len(at)))
 
 
+def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of x are among the values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    values = np.sort(values)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
 def _sums(hashes: np.ndarray, base: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of the ``size`` words from each ``start``: differences of running polynomial sums."""
     with np.errstate(over="ignore"):
@@ -180,24 +188,31 @@ def _stretches(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """
     names = ["route", "c1", "c2", "n", "content", "doc", "row", "at"]
 
+    def cut_up(text: bytes, shared: np.ndarray, cut: np.ndarray, known: _Hashes) -> tuple:
+        words = text.split()
+        hashes = _hashed(words, known)
+        anchors, first, n = stretches(hashes, window, anchor)
+        whole, single = _among(anchors, shared), np.flatnonzero(_among(anchors, cut))
+        windows = np.concatenate([np.arange(first[k], first[k] + n[k]) for k in single]) if len(single) else first[:0]
+        starts, n = np.concatenate([first[whole], windows]), np.concatenate([n[whole], np.ones(len(windows), np.int64)])
+        sizes, joined = n + window - 1, b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        begins = np.concatenate([[0], ends + 1])
+        parts = [joined[a:b] for a, b in zip(begins[starts].tolist(), ends[starts + sizes - 1].tolist(), strict=True)]
+        c1, c2 = (_sums(hashes, base, starts, sizes) for base in _BASES)
+        return np.concatenate([anchors[whole], c1[len(c1) - len(windows) :]]), c1, c2, n, parts, starts
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for whole in batches:
-            for doc, row, text, shared, cut in zip(*(whole.column(k) for k in range(5)), strict=True):
-                words = text.as_py().split()
-                hashes = _hashed(words, known)
-                anchors, first, n = stretches(hashes, window, anchor)
-                in_shared, in_cut = (np.isin(anchors, x.values.to_numpy().view(np.uint64)) for x in (shared, cut))
-                windows = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[k], first[k] + n[k]) for k in in_cut.nonzero()[0])])
-                starts, n = np.concatenate([first[in_shared], windows]), np.concatenate([n[in_shared], np.ones(len(windows), np.int64)])
-                sizes, joined = n + window - 1, b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                begins = np.concatenate([[0], ends + 1])
-                parts = [joined[a:b] for a, b in zip(begins[starts].tolist(), ends[starts + sizes - 1].tolist(), strict=True)]
-                c1, c2 = (_sums(hashes, base, starts, sizes) for base in _BASES)
-                route = np.concatenate([anchors[in_shared], c1[in_shared.sum() :]])
-                columns = [pa.array(x.view(np.int64)) for x in (route, c1, c2, n)] + [pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.full(len(parts), x.as_py(), np.int64)) for x in (doc, row)), pa.array(starts)], names)
+            for at in range(0, whole.num_rows, 200):
+                docs, ids, texts, *lists = whole.slice(at, 200).columns
+                shared, cut = ([x.values.to_numpy().view(np.uint64) for x in column] for column in lists)
+                found = [cut_up(t.as_py(), a, b, known) for t, a, b in zip(texts, shared, cut, strict=True)]
+                route, c1, c2, n, starts = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1, 2, 3, 5))
+                sizes = [len(f[4]) for f in found]
+                columns = [*map(pa.array, (route, c1, c2, n)), pa.array([p for f in found for p in f[4]], pa.binary()), *(pa.array(np.repeat(x.to_numpy(), sizes)) for x in (docs, ids)), pa.array(starts)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(make, "route long, c1 long, c2 long, n long, content binary, doc long, row long, at long")
 
