@@ -1,12 +1,16 @@
 """Operators that have to find all there is, held against brute force over all pairs."""
 
+import os
 import random
+import string
 
 import pytest
 
 from loopscope.llm import shingles
 from tests.llm.test_operators import SCHEMA, joined
 
+SF = "/root/testdata/sf0.001"
+
 
 def near_copies():
     """Texts with copies that have some words replaced, a group of many near copies, and texts that quote one passage."""
@@ -51,3 +55,17 @@ def test_near_copies_are_found_at_shingle_similarity(spark, monkeypatch, paired)
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert {r["doc_id"] for r in kept.collect()} == {i for i in roots if roots[i] == i} | {None}
     assert sum(roots[i] != i for i in roots) > 80
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables here")
+def test_gibberish_and_unlearnt_languages_are_rejected(spark):
+    import corpus_pipeline
+
+    draw = random.Random(1)
+    junk = [" ".join("".join(draw.choice(string.ascii_lowercase) for _ in range(draw.randint(2, 9))) for _ in range(n)) for n in (10, 50, 300, 3000)]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."]
+    clean = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {r["doc_id"] for r in clean.select("doc_id").collect()}
+    docs = clean.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(10_000 + k, t, None, "s", len(t)) for k, t in enumerate(junk)], SCHEMA))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).select("doc_id").collect()}
+    assert kept == ids
