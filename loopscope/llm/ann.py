@@ -8,7 +8,7 @@ neighbours, that a second join merges into the lists kept. For the graph, vector
 longest and get one more component that makes all equally long, so that larger inner products are
 nearer places, and are rounded to bytes.
 
-A query searches every shard: from its own node, or fixed entries, it takes the neighbours of the
+A query searches every shard: from its own node and the nearest of some nodes drawn, it takes the neighbours of the
 best nodes not yet expanded, until none of the best ``BEAM`` is left. The nodes found are scored in
 double precision on the vectors as given.
 """
@@ -26,6 +26,9 @@ from loopscope.llm.tables import Stored
 
 #: Neighbours of a node, nodes gathered that have it for one, those handed on, and rounds.
 NEIGHBOURS, REVERSE, HANDED, ROUNDS = 24, 12, 8, 6
+#: Nodes of a shard, spread over it, that a query is compared to for its entries: all parts of a graph that
+#: falls apart by clusters have some of them, unless they are smaller than a node's list.
+COARSE = 2_048
 #: Nodes of a shard and queries searched in one task, at most on average.
 SHARD, QUERIES = 16_384, 4_096
 #: Nodes that a search keeps, expands at once and starts from.
@@ -189,6 +192,12 @@ def greedy_search(adjacency: np.ndarray, vectors: np.ndarray, queries: np.ndarra
         todo = np.where(open_[:, :, None], adjacency[np.maximum(best[rows, pick], 0)], -1).reshape(n, -1)
 
 
+def _entries(coarse: np.ndarray, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """For each query the ENTRIES nearest of the coarse nodes."""
+    near, n = queries @ vectors[coarse].T, min(ENTRIES, len(coarse))
+    return coarse[np.argpartition(-near, n - 1, axis=1)[:, :n]]
+
+
 def _searcher(wanted: int):
     def search(key, nodes: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["query", "node", "score"]
@@ -199,14 +208,15 @@ def _searcher(wanted: int):
         place = nodes.column("place").to_numpy()
         adjacency = _adjacency(place, int(nodes.column("node")[0].as_py()), nodes.column("found").to_pylist())
         vectors, asked, names_q = exact.astype(np.float32), _packed(queries.column("e").combine_chunks()), queries.column("rep").to_numpy()
-        entries = np.unique(np.linspace(0, len(place) - 1, min(ENTRIES, len(place))).astype(np.int64))
+        # Places go by id, which can go by cluster, so that the coarse nodes are drawn.
+        coarse = np.sort(np.random.default_rng(len(place)).permutation(len(place))[:COARSE])
         at = np.searchsorted(reps, names_q, sorter=(by := np.argsort(reps)))
         own = by[np.minimum(at, len(reps) - 1)]
         own = np.where(reps[own] == names_q, own, -1)
         out = []
         for a in range(0, len(asked), 256):
             some = asked[a : a + 256]
-            start = np.column_stack([np.broadcast_to(entries, (len(some), len(entries))), own[a : a + 256]])
+            start = np.column_stack([_entries(coarse, vectors, some.astype(np.float32)), own[a : a + 256]])
             found = greedy_search(adjacency, vectors, some.astype(np.float32), start)
             for k in range(len(some)):
                 c = found[k][found[k] >= 0]

@@ -4,9 +4,11 @@ import os
 import random
 import string
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loopscope.llm import shingles
+from loopscope.llm import ann, shingles
 from tests.llm.test_operators import SCHEMA, joined
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +71,21 @@ def test_gibberish_and_unlearnt_languages_are_rejected(spark):
     docs = clean.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(10_000 + k, t, None, "s", len(t)) for k, t in enumerate(junk)], SCHEMA))
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).select("doc_id").collect()}
     assert kept == ids
+
+
+def test_nearest_on_clusters_over_several_shards(spark):
+    draw = np.random.default_rng(5)
+    middle = draw.normal(size=(100, 32))
+    x = np.repeat(middle, 120, axis=0) + 0.1 * draw.normal(size=(12_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x[draw.permutation(len(x))]
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(vectors, F.col("id") % 20 == 0, shard=6000).collect()
+    hits = 0
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len({r["vec_id"] for r in found if r["query_id"] == q} & set(np.argsort(-score)[:20].tolist()))
+    recall = hits / (20 * len(range(0, len(x), 20)))
+    print("recall", recall)
+    assert recall >= 0.9
