@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session does not set it (tests on one machine), a temporary folder is made and set.
+    Where a session on one machine does not set it (tests), a temporary folder is made and set. On a
+    cluster that would be a folder of each machine's own, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loopscope-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +44,31 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_made: ContextVar[list[Stored] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[Stored], Stored]]:
+    """Drops, at its end, all tables stored within it but those that the function it gives was called with."""
+    mine, kept = [], []
+    token = _made.set(mine)
+
+    def keep(table: Stored) -> Stored:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for x in mine:
+            if not any(x is k for k in kept):
+                x.drop()
+        outer = _made.get()
+        if outer is not None:
+            outer += kept
+
+
 class Stored:
     """A DataFrame written as Parquet to the shared folder and read again.
 
@@ -56,6 +87,10 @@ class Stored:
         finally:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        made = _made.get()
+        if made is not None:
+            made.append(self)
 
     def drop(self) -> None:
+        """Free the disk; a second call does nothing."""
         drop_folder(self.spark, self.path)
