@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 #: The vocabulary's contractions and character classes.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 SPLIT = "|".join(CONTRACTIONS) + r"| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces kept per worker; beyond it the store starts again.
-MOST_PIECES = 1_000_000
+#: Bytes of pieces and their steps kept per worker, with OVERHEAD for each piece, and pairs of tokens; beyond
+#: it a store starts again. Longer pieces than LONG_PIECE are not kept.
+MOST_BYTES, OVERHEAD, MOST_PAIRS, LONG_PIECE = 200_000_000, 200, 2_000_000, 4_096
 #: The width byte of stored steps.
 NARROW, WIDE = b"\x01", b"\x04"
 
@@ -38,7 +39,9 @@ class PrefixCounter:
         from tokenizers import Tokenizer
 
         spec = json.loads(Tokenizer.from_file(path).to_str())
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        # The longest of those that start at one place is taken.
+        self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self._special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         shown = dict(zip(_byte_order(), map(chr, _shown_order()), strict=True))
         hidden = {c: b for b, c in shown.items()}
         self.vocab = {bytes(hidden[c] for c in t): i for t, i in spec["model"]["vocab"].items() if all(c in hidden for c in t)}
@@ -57,7 +60,7 @@ class PrefixCounter:
     def _follows(self, a: int, b: int) -> bool:
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 4 * MOST_PIECES:
+            if len(self._pairs) > MOST_PAIRS:
                 self._pairs.clear()
             known = self._pairs[a, b] = self._alone(self.texts[a] + self.texts[b]) == [a, b]
         return known
@@ -115,32 +118,29 @@ class PrefixCounter:
         if self._twice.search(text) or "\x00" in text:
             steps = self._steps(text)
             return steps, int(steps.sum())
-        if len(self._pieces) > MOST_PIECES:
-            self._pieces.clear()
         steps = np.frombuffer(b"".join(map(self._pieces.__getitem__, self._split.findall(text))), np.int8)
         return steps, int(steps.sum(dtype=np.int64))
 
     def steps(self, text: str) -> np.ndarray:
         """The count at byte k of the text less that at byte k - 1, for each byte."""
         parts: list[np.ndarray] = []
-        for special in self.specials:
-            if special in text:
-                *heads, tail = text.split(special)
-                for head in heads:
-                    # Up to its last byte a special string is ordinary text.
-                    ordinary = np.array(self._plain(head + special)[0], np.int64)
-                    ordinary[-1] = self._plain(head)[1] + 1 - ordinary[:-1].sum()
-                    parts.append(ordinary)
-                parts.append(self._plain(tail)[0])
-                return np.concatenate(parts)
-        return self._plain(text)[0]
+        at = 0
+        for found in self._special.finditer(text) if self._special else ():
+            head, special, at = text[at : found.start()], found.group(), found.end()
+            # Up to its last character a special string is ordinary text, that can hold a shorter one.
+            ordinary = self.steps(head + special[:-1])
+            last = np.zeros(len(special[-1].encode()), np.int64)
+            last[-1] = self._plain(head)[1] + 1 - ordinary.sum(dtype=np.int64)
+            parts += [ordinary, last]
+        parts.append(self._plain(text[at:])[0])
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
 class _Pieces(dict):
-    """Steps of each piece, as bytes of signed 8-bit numbers."""
+    """Steps of each piece, as bytes of signed 8-bit numbers; what is held has a bound in bytes."""
 
     def __init__(self, counter: PrefixCounter):
-        self.counter = counter
+        self.counter, self.held = counter, 0
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) == 3 and piece in CONTRACTIONS:
@@ -148,7 +148,13 @@ class _Pieces(dict):
             counts = [0, 1, 2, self.counter.piece_counts(piece.encode())[-1]]
         else:
             counts = self.counter.piece_counts(piece.encode())
-        found = self[piece] = bytes([(b - a) & 255 for a, b in pairwise(counts)])
+        found = bytes([(b - a) & 255 for a, b in pairwise(counts)])
+        if len(found) <= LONG_PIECE:
+            self.held += len(piece) + len(found) + OVERHEAD
+            if self.held > MOST_BYTES:
+                self.clear()
+                self.held = len(piece) + len(found) + OVERHEAD
+            self[piece] = found
         return found
 
 
