@@ -6,7 +6,8 @@ the document's; the search takes those with the smallest hashes, the item's bott
 Items are partitioned by size (powers of two), each partition with its sketch length, and stated
 items go to the documents in blocks of bounded size. A long document is not sketched, since a sketch
 of it would lose short items: its shingles are probed for the sketches' hashes, so no contained item
-is missed. Candidates are verified by the exact shingles.
+is missed. Candidates are verified by the exact shingles. An item of fewer than five words has one
+shingle, all its words in a row.
 
 Words are runs of bytes other than ASCII white space, punctuation and control characters, with A-Z
 in lower case.
@@ -15,7 +16,7 @@ in lower case.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def shingles_of(words: list[bytes], n: int = SHINGLE) -> set[bytes]:
+    """Each run of ``n`` words once; none if there are fewer."""
     return {b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)}
 
 
@@ -61,19 +63,16 @@ def sketch_length(size: int, threshold: float = THRESHOLD) -> int:
 
 
 class _Block:
-    """The items of one block with their sketches, by size partition."""
-
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float):
-        self.threshold, self.items, hashes, owners = threshold, [], [], []
-        for item_id, text in items:
-            words = words_of(text)
-            own = shingles_of(words)
-            if not own:
-                continue
+    """The items of one block whose shingles have ``n`` words, with their sketches, by size partition."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], threshold: float, n: int):
+        self.threshold, self.n, self.items, hashes, owners = threshold, n, [], [], []
+        for item_id, words in items:
+            own = shingles_of(words, n)
             size = len(own)
             # One length for a partition: that of its largest size, which serves the smaller ones too.
             length = min(size, sketch_length((1 << size.bit_length()) - 1, threshold))
-            sketch = np.unique(_shingle_hashes(words))[:length]
+            sketch = np.unique(_shingle_hashes(words, n))[:length]
             hashes.append(sketch)
             owners.append(np.full(len(sketch), len(self.items)))
             self.items.append((item_id, own))
@@ -84,10 +83,9 @@ class _Block:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def found_in(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(item, its shingles found, its shingles) of every item contained in a text."""
-        words = words_of(text)
-        hashes = _shingle_hashes(words)
+    def found_in(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(item, its shingles found, its shingles) of every item contained in a text of these words."""
+        hashes = _shingle_hashes(words, self.n)
         hashes = hashes[self.seen[(hashes >> np.uint64(44)).astype(np.int64)]]
         if not len(hashes):
             return []
@@ -96,7 +94,7 @@ class _Block:
         candidates = sorted({int(o) for a, b in zip(first, last, strict=True) if a < b for o in self.owners[a:b]})
         if not candidates:
             return []
-        own, found = shingles_of(words), []
+        own, found = shingles_of(words, self.n), []
         for k in candidates:
             item_id, shingles = self.items[k]
             shared = len(shingles & own)
@@ -105,19 +103,45 @@ class _Block:
         return found
 
 
+def _found(items: list[tuple[int, bytes]], threshold: float) -> Callable[[bytes], list[tuple[int, int, int]]]:
+    """A function that gives the items contained in a text."""
+    by_length: dict[int, list[tuple[int, list[bytes]]]] = {}
+    for item_id, text in items:
+        words = words_of(text)
+        if words:
+            by_length.setdefault(min(SHINGLE, len(words)), []).append((item_id, words))
+    blocks = [_Block(some, threshold, n) for n, some in sorted(by_length.items())]
+
+    def found(text: bytes) -> list[tuple[int, int, int]]:
+        words = words_of(text)
+        return [hit for block in blocks for hit in block.found_in(words)]
+
+    return found
+
+
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The items, each once, dealt by hash to blocks of bounded size."""
+    own = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null").distinct()
+    total = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, math.ceil(total / block_bytes))
+    return [own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)]
+
+
+def _held(block: DataFrame):
+    """One block, handed to the workers; no more than ``BLOCK_BYTES`` on average, and one item."""
+    return block.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in block.collect()])
+
+
 def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row (id, item, n_shared, n_shingles, containment) for each item contained in each row of ``docs``.
 
-    Items of fewer than five words have no shingle and are never found; null texts, of either
-    side, hold nothing; long texts are searched whole. A repeated item id with the same text counts
-    once, a repeated document row gives its rows again. Other columns are not used.
+    Items of fewer than five words are found as one run of words, items without words never; null
+    texts, of either side, hold nothing; long texts are searched whole. A repeated item id with the
+    same text counts once, a repeated document row gives its rows again. Other columns are not used.
+    Documents are read once for each block of items.
     """
-    sizes = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("item is not null and text is not null").distinct()
-    total = sizes.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / block_bytes))
-    # Items are dealt to blocks by hash; a block is fetched only while its documents are searched.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    parts = [_search(rows, sizes.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b), threshold) for b in range(n_blocks)]
+    parts = [_search(rows, block, threshold) for block in _blocks(items, item_col, item_text_col, block_bytes)]
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
@@ -125,18 +149,38 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
 
 
 def _search(rows: DataFrame, block: DataFrame, threshold: float) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in block.collect()])
+    held = _held(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Block(held.value, threshold)
+        within = _found(held.value, threshold)
         for batch in batches:
-            found = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if text.is_valid for hit in own.found_in(text.as_py())]
+            found = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if text.is_valid for hit in within(text.as_py())]
             columns = zip(*found, strict=True) if found else ([],) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "item", "n_shared", "n_shingles"])
 
     return rows.mapInArrow(search, "id long, item long, n_shared long, n_shingles long")
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns, whatever these are called.
+
+    Each row is judged by its own text: ids, null or repeated, play no part. Null texts stay.
+    """
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def kept(held, threshold):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            within = _found(held.value, threshold)
+            for batch in batches:
+                yield batch.filter(pa.array([not (text.is_valid and within(text.as_py().encode())) for text in batch.column(at)], pa.bool_()))
+
+        return keep
+
+    for block in _blocks(items, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(kept(_held(block), threshold), docs.schema)
+    return docs
+
+
 #: The same in DuckDB's SQL: every shingle of every document joined with the items'.
 ORACLE_SQL = r"""
 WITH words AS (
@@ -144,11 +188,12 @@ WITH words AS (
   UNION ALL
   SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark WHERE text IS NOT NULL
 ), shingles AS (
-  SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM words WHERE len(w) >= 5
+  SELECT DISTINCT kind, id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k+m-1], ' '))) AS s
+  FROM words, (SELECT DISTINCT least(5, len(w)) AS m FROM words WHERE kind = 'i' AND len(w) > 0) WHERE len(w) >= m AND (kind = 'd' OR m = least(5, len(w)))
 ), items AS (
-  SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'i'
+  SELECT id, m, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'i'
 )
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, i.n AS n_shingles, count(*) / i.n AS containment
-FROM shingles d JOIN items i USING (s) WHERE d.kind = 'd'
+FROM shingles d JOIN items i USING (m, s) WHERE d.kind = 'd'
 GROUP BY d.id, i.id, i.n HAVING count(*) >= 0.8 * i.n - 1e-9
 """
