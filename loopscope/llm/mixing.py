@@ -3,13 +3,14 @@
 The weight of a source is its share of tokens raised to an exponent, normalised. The exponent is
 bisected: the largest share's exponent 1 is the corpus as it is, 0 is equal weights. It meets either
 a target entropy (as a share of the largest possible) or the largest number of times that any
-source may be repeated within the budget.
+source may be repeated within the budget, or, where both are given, the one that asks for less.
 
 A source's documents are dealt to blocks by hash; in every pass over the source, blocks come in an
 order of their own, and documents within a block too. Whole passes are taken while the source's
 budget lasts, then whole blocks of the next pass, and of the block where the budget ends its first
-documents. Only blocks, whose number follows the tokens, are summed along a source; documents are
-summed along a block, whose size is bounded, so that one large source needs no long window.
+documents. Blocks of a source, whose number follows its tokens, are summed in two steps, along
+groups of blocks and within one, each of about the square root of their number; documents are summed along a
+block, whose size is bounded. So one large source needs no long window.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 
 from loopscope.llm.tables import Stored
 
+#: Times that a source is repeated at most, unless another limit is given, however little text it has.
+REPEATS = 16.0
+#: Passes that are made at once for each row; a row's passes are made in runs of so many.
+PASSES = 1_000
 #: Tokens that a block holds on average.
 BLOCK_TOKENS = 250_000
 #: Exponents tried at once in each step of the bisection, and its steps.
@@ -47,7 +52,10 @@ def exponent(totals: DataFrame, *, entropy: float | None = None, repeats: float
 
     ``totals`` holds (source, tokens), tokens over 0. If no exponent does, the nearest end is
     given. One row of figures comes to the driver for each step, however many sources there are.
+    With both, the larger of the two exponents: repeats are bounded first.
     """
+    if entropy is not None and repeats is not None:
+        return max(exponent(totals, entropy=entropy, budget=budget), exponent(totals, repeats=repeats, budget=budget))
     size = totals.agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).first()
     if not size["n"]:
         return 1.0
@@ -90,9 +98,10 @@ def weights(totals: DataFrame, alpha: float, budget: float | None = None) -> Dat
     return totals.select("source", "tokens", weight.alias("weight"), F.round(weight * F.lit(float(size if budget is None else budget))).cast("long").alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = 0.95, repeats: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = 0.95, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of a training mix: (id, source, copy, block, n_tokens, weight).
 
+    ``entropy`` is met as far as no source is repeated over ``repeats`` times (None: however often).
     ``copy`` counts a row's passes from 0. ``budget`` is in tokens, the corpus's own if not given.
     A null source is a source of its own. Rows without tokens are never taken, since no budget
     buys them; a source without tokens has no weight. Repeated rows each take part, with the order
@@ -109,16 +118,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     dealt = dealt.join(parts, "source").withColumn("block", F.pmod(_draw(F.lit("block"), F.coalesce(F.col("id").cast("string"), F.lit("-"))), F.col("n_blocks")))
 
     # Blocks in each pass's order; a whole pass needs no order to be taken whole.
-    sizes = dealt.groupBy("source", "block", "target", "tokens").agg(F.sum("n_tokens").alias("block_tokens"))
+    sizes = dealt.groupBy("source", "block", "n_blocks", "target", "tokens").agg(F.sum("n_tokens").alias("block_tokens"))
     whole = F.expr("target div tokens")
     last = sizes.withColumn("copy", whole).withColumn("left", F.col("target") - whole * F.col("tokens"))
-    along = Window.partitionBy("source").orderBy(_draw(F.lit("order"), F.col("copy").cast("string"), F.col("source"), F.col("block").cast("string")), "block")
-    before = F.sum("block_tokens").over(along) - F.col("block_tokens")
-    blocks = Stored(last.withColumn("room", F.greatest(F.col("left") - before, F.lit(0))).select(F.col("source").alias("s"), F.col("block").alias("b"), "block_tokens", "room"), "blocks").df
-
-    passes = dealt.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), whole)))
-    full = passes.where(F.col("copy") < whole).select("id", "name", "copy", "block", "n_tokens", "weight")
-    final = passes.where(F.col("copy") == whole).join(blocks.where("room > 0"), (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
+    last = last.withColumn("place", _draw(F.lit("order"), F.col("copy").cast("string"), F.col("source"), F.col("block").cast("string")))
+    # Places run up to 2^32, so equal stretches of them hold about as many blocks each.
+    last = Stored(last.withColumn("part", F.floor(F.col("place") * F.ceil(F.sqrt("n_blocks")) / float(1 << 32)).cast("long")), "block-sizes").df
+    parts_before = F.sum("part_tokens").over(Window.partitionBy("source").orderBy("part")) - F.col("part_tokens")
+    sums = last.groupBy("source", "part").agg(F.sum("block_tokens").alias("part_tokens")).select("source", "part", parts_before.alias("ahead"))
+    before = F.sum("block_tokens").over(Window.partitionBy("source", "part").orderBy("place", "block")) - F.col("block_tokens") + F.col("ahead")
+    blocks = Stored(last.join(sums, ["source", "part"]).withColumn("room", F.greatest(F.col("left") - before, F.lit(0))).select(F.col("source").alias("s"), F.col("block").alias("b"), "block_tokens", "room"), "blocks").df
+
+    runs = dealt.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(target div tokens - 1) div {PASSES}")))).where(whole > 0)
+    passes = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * PASSES, F.least(F.col("run") * PASSES + PASSES, whole) - 1)))
+    full = passes.select("id", "name", "copy", "block", "n_tokens", "weight")
+    final = dealt.withColumn("copy", whole).join(blocks.where("room > 0"), (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
     order = _draw(F.lit("row"), F.col("copy").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("-")))
     inside = Window.partitionBy("source", "block").orderBy(order, "id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A block with room for all its tokens is taken whole; only the others are summed along.
@@ -127,7 +141,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return taken.select(F.col("id").alias(id_col), F.col("name").alias(source_col), "copy", "block", "n_tokens", "weight")
 
 
-#: The same in DuckDB's SQL, for an entropy of 0.95 times the largest possible and the corpus's own budget.
+#: The same in DuckDB's SQL, for an entropy of 0.95 times the largest possible, the usual limit of repeats and the corpus's own budget.
 ORACLE_SQL = f"""
 WITH RECURSIVE own AS (
   SELECT doc_id, source, coalesce('=' || source, '-') AS k, CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents
@@ -140,8 +154,17 @@ WITH RECURSIVE own AS (
   UNION ALL
   SELECT i + 1, CASE WHEN e >= 0.95 * m - 1e-12 THEN (low + high) / 2 ELSE low END, CASE WHEN e >= 0.95 * m - 1e-12 THEN high ELSE (low + high) / 2 END
   FROM (SELECT i, low, high, (SELECT ln(sum(pow(share, (low + high) / 2))) - sum(pow(share, (low + high) / 2) * ln(pow(share, (low + high) / 2))) / sum(pow(share, (low + high) / 2)) FROM shares) AS e, (SELECT ln(count(*)) FROM shares) AS m FROM search WHERE i < 50)
-), alpha AS (
+), bounded AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+  UNION ALL
+  SELECT i + 1, CASE WHEN most <= {REPEATS} + 1e-12 THEN low ELSE (low + high) / 2 END, CASE WHEN most <= {REPEATS} + 1e-12 THEN (low + high) / 2 ELSE high END
+  FROM (SELECT i, low, high, (SELECT max(pow(share, (low + high) / 2) / share) / sum(pow(share, (low + high) / 2)) FROM shares) AS most FROM bounded WHERE i < 50)
+), limited AS (
+  SELECT CASE WHEN (SELECT max(1 / share) / count(*) FROM shares) <= {REPEATS} + 1e-12 THEN 0.0 ELSE round(high, {DECIMALS}) END AS b FROM bounded ORDER BY i DESC LIMIT 1
+), wanted AS (
   SELECT CASE WHEN (SELECT ln(sum(share)) - sum(share * ln(share)) / sum(share) FROM shares) >= 0.95 * (SELECT ln(count(*)) FROM shares) - 1e-12 THEN 1.0 ELSE round(low, {DECIMALS}) END AS a FROM search ORDER BY i DESC LIMIT 1
+), alpha AS (
+  SELECT greatest(a, b) AS a FROM wanted, limited
 ), parts AS (
   SELECT k, tokens, weight, CAST(round(weight * (SELECT sum(tokens) FROM shares)) AS BIGINT) AS target, CAST(ceil(tokens / {BLOCK_TOKENS}) AS BIGINT) AS n_blocks
   FROM (SELECT k, tokens, round(pow(share, a) / sum(pow(share, a)) OVER (), {DECIMALS}) AS weight FROM shares, alpha)

@@ -75,6 +75,25 @@ def test_prefix_counts_are_those_of_the_library(vocabulary):
             assert tokens.count_at(stored, len(text[:k].encode())) == len(library.encode(text[:k], add_special_tokens=False).ids), (text, k)
 
 
+def test_counts_hold_with_several_special_strings_and_a_full_store(monkeypatch, vocabulary, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary)
+    library.add_special_tokens(["<s>", "<s>>", "«é»"])
+    library.save(str(tmp_path / "several.json"))
+    monkeypatch.setattr(tokens, "MOST_BYTES", 2_000)
+    counter = tokens.PrefixCounter(str(tmp_path / "several.json"))
+    draw = random.Random(4)
+    for _ in range(40):
+        text = "".join(draw.choice(["<s>", "<s>>", "«é»", "«é", "<|endoftext|>", " some", "words", "  ", "\n", "<", ">"]) for _ in range(12))
+        stored = tokens.pack(counter.steps(text))
+        for k in range(len(text) + 1):
+            assert tokens.count_at(stored, len(text[:k].encode())) == len(library.encode(text[:k], add_special_tokens=False).ids), (text, k)
+    for k in range(3000):
+        counter.steps(f"a{k}  b{k}")
+    assert sum(len(p) + len(s) + tokens.OVERHEAD for p, s in counter._pieces.items()) <= 2_000
+
+
 def test_budgets_need_no_second_encoding(vocabulary):
     stored = tokens.pack(tokens.PrefixCounter(vocabulary).steps("some words of a longer text"))
     counts = tokens.counts_of(stored)
@@ -204,18 +223,25 @@ def test_contained_items(spark, docs, clashing, none, corpus):
     texts = {i: t for i, t, *_ in corpus if i is not None and t}
     items = [(1, " ".join(texts[0].split()[:20])), (2, texts[20].upper()), (3, "a b"), (4, None), (5, ""), (6, "not in any document of this corpus at all"), (1, " ".join(texts[0].split()[:20])), (None, texts[1])]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower())
-    runs = lambda t: {tuple(w[k : k + 5]) for w in [words(t)] for k in range(len(w) - 4)}
+    runs = lambda t, n: {tuple(w[k : k + n]) for w in [words(t)] for k in range(len(w) - n + 1)}
+    items += [(7, " ".join(texts[8].split()[2:5])), (8, texts[21].split()[1] + "!")]
     expected = []
     for i, t, *_ in corpus:
         for j, x in {(j, x) for j, x in items if j is not None and x}:
-            own = runs(x)
-            if own and t and len(own & runs(t)) >= 0.8 * len(own):
-                expected.append((i, j, len(own & runs(t)), len(own)))
+            n = min(5, len(words(x)))
+            own = runs(x, n)
+            if own and t and len(own & runs(t, n)) >= 0.8 * len(own):
+                expected.append((i, j, len(own & runs(t, n)), len(own)))
     table = spark.createDataFrame(items, "item_id long, text string")
     for df, size in ((docs, contamination.BLOCK_BYTES), (clashing, 200)):
         found = contamination.contained_items(df, table.withColumn("doc_id", F.lit(1)), block_bytes=size)
         assert rows_of(found.select("doc_id", "item_id", "n_shared", "n_shingles")) == sorted(expected, key=repr)
-    assert len(expected) >= 3
+        clean = contamination.clean_rows(df, table, block_bytes=size)
+        assert clean.columns == df.columns
+        leaked = {i for i, *_ in expected}
+        assert sorted([r["doc_id"] for r in clean.collect()], key=repr) == sorted([i for i, t, *_ in corpus if i not in leaked], key=repr)
+    assert len(expected) >= 3 and {7, 8} <= {j for _, j, *_ in expected}
+    assert contamination.clean_rows(none, table).count() == 0
     assert contamination.contained_items(none, table).count() == 0
     assert contamination.contained_items(docs, table.limit(0)).count() == 0
 
@@ -434,7 +460,7 @@ def test_no_lines(none):
 def test_mix_meets_its_weights(spark, none):
     rows = [(k, "w " * (1 + k % 9), "big" if k % 10 else f"small{k % 30}", 1) for k in range(3000)] + [(9000, None, "big", 1), (9001, " \n", "none", 1), (9002, "a b", None, 1), (5, "w w", "big", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
-    found = mixing.mix(df, entropy=0.9, block_tokens=500)
+    found = mixing.mix(df, entropy=0.9, repeats=None, block_tokens=500)
     got = defaultdict(int)
     taken = found.collect()
     for r in taken:
@@ -450,6 +476,29 @@ def test_mix_meets_its_weights(spark, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_a_tiny_source_is_repeated_no_more_than_the_limit(spark):
+    rows = [(k, "w " * 9, "large") for k in range(2000)] + [(5000, "w", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(df).where("source = 'tiny'").collect()
+    assert sorted(r["copy"] for r in taken) == list(range(16))
+    passes = mixing.mix(df, repeats=None).where("source = 'tiny'").collect()
+    assert sorted(r["copy"] for r in passes) == list(range(len(passes))) and len(passes) > 2 * mixing.PASSES
+
+
+def test_blocks_are_filled_in_order(spark):
+    rows = [(k, "w " * (1 + k % 5), "a" if k % 4 else "b") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(df, entropy=1.0, block_tokens=40).collect()
+    tokens = Counter()
+    for r in found:
+        tokens[r["source"]] += r["n_tokens"]
+    total = sum(1 + k % 5 for k in range(4000))
+    assert all(total / 2 - 10 < n <= total / 2 + 1 for n in tokens.values())
+    whole = Counter(r["block"] for r in mixing.mix(df, entropy=0.0, block_tokens=40).where("source = 'a'").collect())
+    taken = Counter(r["block"] for r in found if r["source"] == "a")
+    assert len(taken) > 50 and sum(taken[b] < whole[b] for b in taken) <= 1
+
+
 def test_repeats_are_bounded(spark):
     totals = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "source string, tokens long")
     alpha = mixing.exponent(totals, repeats=3.0)
