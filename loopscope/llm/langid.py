@@ -139,9 +139,10 @@ def predict(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", keep
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learnt. Texts
     are read whole, at any length; ties go to the language that sorts first; repeated rows give a
-    row each. Columns outside ``keep`` are not returned.
+    row each. Columns outside ``keep`` are not returned; those within it can have any names, so
+    that the two added are the last two, whatever else is called like them.
     """
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
     kept = rows.drop("text").schema
     ids = kept.names
 

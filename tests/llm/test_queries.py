@@ -15,6 +15,7 @@ import corpus_pipeline
 from loopscope.llm import langid, mixing
 from loopscope.llm import queries as llm
 from tests.llm.test_operators import SCHEMA, brute_fingerprint, brute_lines, brute_removal, joined, rows_of
+from tests.llm.test_whole import brute_similar
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables here")
@@ -123,9 +124,9 @@ def test_stages_one_by_one(spark, documents):
     kept = [tuple(r) for r in second.collect()]
     assert second.columns == docs.columns and {r[0]: r[1] for r in kept} == left and all(r[4] == len(r[1]) for r in kept)
 
-    docs = spark.createDataFrame(kept + [(905, kept[0][1], "en", "s", 1), (None, "no id", "en", "s", 1)], SCHEMA)
-    own = [(r["doc_id"], brute_fingerprint(r["text"], corpus_pipeline.SHINGLE)) for r in docs.collect() if r["doc_id"] is not None]
-    roots = joined([(a, b) for a, x in own for b, y in own if a < b and (x ^ y).bit_count() <= 2], {i for i, _ in own})
+    rows = kept + [(905, kept[0][1], "en", "s", 1), (907, kept[2][1] + " more", "en", "s", 1), (None, "no id", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    roots = brute_similar(rows, 5)
     third = corpus_pipeline.near_dedup(spark, docs, SF)
     assert {r["doc_id"] for r in third.collect()} == {i for i in roots if roots[i] == i} | {None}
 
