@@ -378,7 +378,7 @@ def line_print(x):
     words = x.split(" ")
     long = [w for w in words if len(w) >= lines.LONG]
     if len(words) >= lines.LEAST_WORDS:
-        h = [xxhash.xxh64_intdigest(w, seed=42) for w in (long if len(long) >= lines.LEAST_WORDS else words)]
+        h = [xxhash.xxh64_intdigest(w, seed=42) for w in (long if len(long) >= lines.LEAST_WORDS else dict.fromkeys(words))]
     elif len(x) >= lines.LEAST_CHARS:
         h = []
         for k in range(len(x) - 2):
@@ -437,7 +437,7 @@ def test_fuzzy_lines(monkeypatch, spark, corpus, paired):
         w[draw.randrange(60)] = "zz"
         rows.append((1000 + k, " ".join(w) + "\nTotal: 12, 5\n\n" + " ".join(w).upper() + "!"))
     # Lines of one fingerprint, few of which are similar; texts without blanks; short lines.
-    five = "alpha bravo charlie delta echoes"
+    five = "alphas bravos charlie deltas echoes"
     for k in range(12):
         rows.append((2000 + k, f"{' '.join(draw.choice('xyz') * draw.randint(1, 3) for _ in range(14))} {five}"))
     rows += [(2100, f"a b c d e f g h i j k l m n {five}"), (2101, f"a b c d e f g h i j k l m o {five}")]
@@ -456,7 +456,7 @@ def test_fuzzy_lines(monkeypatch, spark, corpus, paired):
 
 
 def test_unrelated_lines_part_no_similar_ones(spark):
-    five = "alpha bravo charlie delta echoes"
+    five = "alphas bravos charlie deltas echoes"
     draw = random.Random(9)
     pair = [(1, f"a b c d e f g h i j k l m n {five}"), (2, f"a b c d e f g h i j k l m o {five}")]
     others = [(10 + k, " ".join(draw.choice("pqrstuvw") for _ in range(14)) + f" {five}") for k in range(60)]
