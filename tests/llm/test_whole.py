@@ -114,3 +114,29 @@ def test_nearest_on_clusters_over_several_shards(spark):
     recall = hits / (20 * len(range(0, len(x), 20)))
     print("recall", recall)
     assert recall >= 0.9
+
+
+def recall_of(spark, x, every=80, **options):
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(vectors, F.col("id") % every == 0, **options).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), every):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    return hits / (20 * len(found))
+
+
+@pytest.mark.parametrize("norms", ["gaussian", "one", "skewed"])
+def test_nearest_at_any_norms(spark, norms):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(16_000, 64))
+    if norms == "one":
+        x[4321] *= 1000
+    if norms == "skewed":
+        x *= np.exp(draw.normal(size=(16_000, 1)))
+    recall = recall_of(spark, x)
+    print("recall", norms, recall)
+    assert recall >= 0.9
