@@ -33,7 +33,10 @@ def scale_bytes(n: Column, collective: bool = False) -> Column:
 
 def uid(text: Column) -> Column:
     """The 32-bit string hash by which loops are known: h = 33 h + byte from 5381 on."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    # Two hexadecimal digits a byte, since a character beyond ASCII has several.
+    digits = F.hex(F.encode(text, "UTF-8"))
+    places = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
+    codes = F.when(F.length(digits) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(places, lambda k: F.conv(F.substr(digits, k, F.lit(2)), 16, 10).cast("long")))
     return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(4294967295)))
 
 

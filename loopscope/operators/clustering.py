@@ -14,6 +14,16 @@ def normalise(points: DataFrame, columns: dict[str, str]) -> DataFrame:
     return points.crossJoin(F.broadcast(largest)).withColumns({new: F.col(c) / F.col(f"_max_{c}") for c, new in columns.items()}).drop(*[f"_max_{c}" for c in columns])
 
 
+def normalise_jointly(sets: list[DataFrame], columns: dict[str, str]) -> list[DataFrame]:
+    """Several sets, each column over its largest value in all of them."""
+    every = None
+    for points in sets:
+        own = points.select(*columns)
+        every = own if every is None else every.unionByName(own)
+    largest = every.agg(*[F.max(c).alias(f"_max_{c}") for c in columns])
+    return [points.crossJoin(F.broadcast(largest)).withColumns({new: F.col(c) / F.col(f"_max_{c}") for c, new in columns.items()}).drop(*[f"_max_{c}" for c in columns]) for points in sets]
+
+
 def eps_components(points: DataFrame, x: str, y: str, eps: float, out: str = "component") -> DataFrame:
     """Adds the component of each point (a number) under "at most eps apart".
 

@@ -43,6 +43,11 @@ def keep_above(shared: DataFrame, bound: float) -> DataFrame:
     return shared.where((F.col("n") > 1) & (cost(F.col("n"), F.col("total"), F.col("gap_mean"), bound) > 0))
 
 
+def at_share(shared: DataFrame, share: float) -> DataFrame:
+    """Paths that explain just ``share`` of the run: whose cost there is nil."""
+    return shared.where(cost(F.col("n"), F.col("total"), F.col("gap_mean"), share) == 0)
+
+
 def share_between(shared: DataFrame, bottom: float, top: float) -> DataFrame:
     """Paths whose cost is over zero at the bottom share and not at the top one."""
     at = lambda s: cost(F.col("n"), F.col("total"), F.col("gap_mean"), s)

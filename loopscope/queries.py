@@ -386,7 +386,7 @@ def dictionary_fallback(spark, sf_dir):
 
     events = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("event_type"), F.col("n_regionkey").cast("string").alias("value"))
     names = _table(spark, sf_dir, "region").where("r_regionkey <= 2").select(F.col("r_regionkey").cast("string").alias("value"), F.col("r_name").alias("label"))
-    found = translate(events, events.select("event_type").distinct().join(names))
+    found = translate(events, events.distinct().join(names, "value"))
     return found.select(F.col("event_type").cast("int").alias("event_type"), F.col("value").cast("int").alias("value"), "label")
 
 
@@ -403,11 +403,11 @@ def monotonic_check(spark, sf_dir):
 
 
 @query("""SELECT l_suppkey % 8 AS task, CAST(epoch_us(l_shipdate) AS BIGINT) AS t, pos, CAST(type AS VARCHAR) AS type, CAST(value AS BIGINT) AS value FROM (
-SELECT *, 0 AS pos, '42000050' AS type, l_quantity AS value FROM lineitem UNION ALL SELECT *, 1, '50000001', l_linenumber FROM lineitem) WHERE l_linenumber <= 2""")
+SELECT *, 0 AS pos, '42000050' AS type, l_quantity AS value FROM lineitem UNION ALL SELECT *, 1, '50000001', l_linenumber FROM lineitem) """)
 def explode_pairs(spark, sf_dir):
     from loopscope.sources.trace import events_of
 
-    item = _table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    item = _table(spark, sf_dir, "lineitem")
     text = F.concat_ws(":", F.lit("2"), F.lit(1), F.lit(1), F.col("l_suppkey") % 8, F.lit(1), micros("l_shipdate"), F.lit("42000050"), F.col("l_quantity").cast("long"), F.lit("50000001"), F.col("l_linenumber"), F.lit("12345678"), F.lit(9))
     found = events_of(item.select(text.alias("value"), F.lit(0).cast("long").alias("line_no")))
     return found.select(F.col("task").cast("long").alias("task"), "t", F.col("pos").cast("int").alias("pos"), "type", "value")
@@ -416,25 +416,25 @@ def explode_pairs(spark, sf_dir):
 # Ranks
 
 
-@query(f"WITH {_EV} SELECT path, array_to_string(list_sort(list_distinct(list(rank))), ',') AS ranks, count(DISTINCT rank) AS n_ranks, min(t) AS place FROM ev WHERE k < 5 GROUP BY path")
+@query(f"WITH {_EV} SELECT path, array_to_string(list_sort(list_distinct(list(rank))), ',') AS ranks, count(DISTINCT rank) AS n_ranks, min(t) AS place FROM ev GROUP BY path")
 def rank_compaction(spark, sf_dir):
-    found = ranks.compact(trace(spark, sf_dir).where("k < 5").withColumn("all", F.lit(0)), ["all"], "path", "rank", "t")
+    found = ranks.compact(trace(spark, sf_dir).withColumn("all", F.lit(0)), ["all"], "path", "rank", "t")
     return found.select("path", F.array_join(F.col("ranks").cast("array<string>"), ",").alias("ranks"), F.col("n_ranks").cast("long").alias("n_ranks"), "place")
 
 
-@query(f"""WITH {_EV}, days AS (SELECT t // 86400000000 AS day, array_to_string(list_sort(list_distinct(list(rank % 3))), ',') AS ranks FROM ev WHERE k < 2 GROUP BY 1),
+@query(f"""WITH {_EV}, days AS (SELECT t // 86400000000 AS day, array_to_string(list_sort(list_distinct(list(rank % 3))), ',') AS ranks FROM ev GROUP BY 1),
 n AS (SELECT *, CASE WHEN ranks <> lag(ranks) OVER (ORDER BY day) THEN 1 ELSE 0 END AS new FROM days), b AS (SELECT *, CAST(sum(new) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM n)
 SELECT block, ranks, count(*) AS n_items, min(day) AS first, max(day) AS last FROM b GROUP BY block, ranks""")
 def rank_blocks_flat(spark, sf_dir):
-    days = trace(spark, sf_dir).where("k < 2").groupBy(F.expr("t div 86400000000").alias("day")).agg(F.sort_array(F.collect_set(F.col("rank") % 3)).alias("ranks"))
+    days = trace(spark, sf_dir).groupBy(F.expr("t div 86400000000").alias("day")).agg(F.sort_array(F.collect_set(F.col("rank") % 3)).alias("ranks"))
     return ranks.flat_blocks(days, "day", "ranks").withColumn("ranks", F.array_join(F.col("ranks").cast("array<string>"), ","))
 
 
-@query("""WITH s AS (SELECT n_regionkey AS id, list_distinct(list(n_nationkey % 4)) AS m FROM nation GROUP BY 1), u AS (SELECT * FROM s UNION ALL SELECT 100 + c_custkey % 6, list_distinct(list(c_nationkey % 5)) FROM customer WHERE c_custkey < 12 GROUP BY 1)
+@query("""WITH s AS (SELECT n_regionkey AS id, list_distinct(list(n_nationkey % 4)) AS m FROM nation GROUP BY 1), u AS (SELECT * FROM s UNION ALL SELECT 100 + c_custkey % 6, list_distinct(list(c_nationkey % 5)) FROM customer GROUP BY 1)
 SELECT a.id AS a, b.id AS b, CASE WHEN len(list_intersect(a.m, b.m)) = len(a.m) AND len(a.m) = len(b.m) THEN 'equal' WHEN len(list_intersect(a.m, b.m)) = len(a.m) THEN 'subset' WHEN len(list_intersect(a.m, b.m)) = len(b.m) THEN 'superset' WHEN len(list_intersect(a.m, b.m)) = 0 THEN 'disjoint' ELSE 'overlap' END AS relation FROM u a JOIN u b ON a.id < b.id""")
 def set_relations(spark, sf_dir):
     n = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("id")).agg(F.collect_set(F.col("n_nationkey") % 4).alias("m"))
-    c = _table(spark, sf_dir, "customer").where("c_custkey < 12").groupBy((F.col("c_custkey") % 6 + 100).alias("id")).agg(F.collect_set(F.col("c_nationkey") % 5).alias("m"))
+    c = _table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 6 + 100).alias("id")).agg(F.collect_set(F.col("c_nationkey") % 5).alias("m"))
     u = n.unionByName(c)
     pairs = u.toDF("a", "ma").join(u.toDF("b", "mb"), F.col("a") < F.col("b"))
     return pairs.select("a", "b", scalars.set_relation(F.col("ma"), F.col("mb")).alias("relation"))
@@ -523,10 +523,10 @@ def interleave_paths(spark, sf_dir):
     return _urls(spark, sf_dir).select("page_id", F.array_join(paths.interleave(F.col("p"), F.reverse("p")), "/").alias("mixed"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' ')[1:12])) AS w FROM documents), c AS (SELECT w, count(*) AS n, min(doc_id) AS f FROM s GROUP BY w)
+@query("""WITH s AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents), c AS (SELECT w, count(*) AS n, min(doc_id) AS f FROM s GROUP BY w)
 SELECT w AS frame, n FROM c ORDER BY n DESC, f, w DESC LIMIT 1""")
 def pivot_frame(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 12).alias("p"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("p"))
     return flow.pivot(rows, "p", "doc_id")
 
 
@@ -629,3 +629,239 @@ def split_counts(spark, sf_dir):
     text = F.concat_ws(":", F.when(F.col("l_linenumber") % 4 == 0, "3").otherwise("2"), F.lit(1), F.lit(1), F.col("l_suppkey") % 8, F.lit(1), F.lit(5))
     found = split_kinds(item.select(text.alias("value")))
     return found.groupBy(F.col("task").cast("long").alias("task"), "kind").agg(F.count("*").alias("n"))
+
+
+# Trace text
+
+_TRACE = f"""{_EV}, tm AS (SELECT *, row_number() OVER w AS n, lead(t) OVER w AS t_out, lag(t) OVER w AS t_b, lag(cents) OVER w AS cents_b FROM ev WINDOW w AS (PARTITION BY rank ORDER BY t, seq)),
+made AS (SELECT rank, t, t_out, 'main(42) ' || CASE k % 3 WHEN 0 THEN 'work' ELSE '70000001_' || (k % 3 + 10) END || '(' || k || ') ' || CASE length(path) WHEN 4 THEN 'MPI_Send' WHEN 5 THEN 'MPI_Bcast' ELSE '50000001_' || length(path) END || '(0)' AS path,
+ cents + 1000 AS ins, CAST(2000 AS BIGINT) AS cyc, t - coalesce(t_b, 0) AS burst_ns, cents_b AS burst_ins, CAST(CASE WHEN cents_b IS NOT NULL THEN 100 END AS BIGINT) AS burst_cyc,
+ CASE WHEN length(path) = 5 THEN cents END AS send_size, CASE WHEN length(path) = 5 THEN 2 * cents END AS recv_size, CAST(CASE WHEN length(path) = 5 THEN 1 END AS BIGINT) AS communicator FROM tm WHERE n % 2 = 1 AND t_out IS NOT NULL)"""
+
+
+def trace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as the lines of a trace: of each rank's events every odd one enters a call, with its callers, and the next one ends it."""
+    along = Window.partitionBy("rank").orderBy("t", "seq")
+    rows = trace(spark, sf_dir).withColumn("odd", F.row_number().over(along) % 2 == 1).withColumn("code", F.length("path"))
+    head = [F.lit("2:1:1"), F.col("rank") + 1, F.lit(1), F.col("t")]
+    callers = F.concat_ws(":", F.lit("70000001"), F.col("k") % 3 + 10, F.lit("80000001"), F.col("k"), F.lit("70000002:1:80000002:5:70000003:2:80000003:9"))
+    sizes = F.when(F.col("code") == 5, F.concat_ws(":", F.lit("50100001"), F.col("cents"), F.lit("50100002"), 2 * F.col("cents"), F.lit("50100004:1")))
+    enter = F.concat_ws(":", *head, F.lit("50000001"), F.col("code"), callers, F.lit("42000050"), F.col("cents") + 1000, F.lit("42000059:2000"), sizes)
+    leave = F.concat_ws(":", *head, F.lit("50000001:0:42000050"), F.col("cents"), F.lit("42000059:100"))
+    return rows.select(F.when(F.col("odd"), enter).otherwise(leave).alias("value"), F.col("seq").alias("line_no"))
+
+
+def trace_labels(spark: SparkSession) -> DataFrame:
+    """The dictionary of ``trace_text``; calls and callers that it lacks go by their numbers."""
+    rows = [("50000001", 4, "MPI_Send"), ("50000001", 5, "MPI_Bcast"), ("70000001", 10, "x [work<int>]"), ("70000002", 1, "main"), ("70000003", 2, "start"), ("80000002", 5, "42 (main.c, prog)")]
+    return spark.createDataFrame(rows, "event_type string, value long, label string")
+
+
+def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopscope.sources import trace as source
+
+    events = source.events_of(trace_text(spark, sf_dir))
+    named = source.translate(events.withColumnRenamed("type", "event_type"), trace_labels(spark))
+    return named.withColumnRenamed("event_type", "type")
+
+
+@query(f"WITH {_TRACE} SELECT * FROM made")
+def trace_calls(spark, sf_dir):
+    """From the text of a trace to its calls, with counters, bursts and sizes."""
+    from loopscope.operators import callstacks
+
+    return callstacks.occurrences_of(labelled_events(spark, sf_dir)).withColumn("path", paths.path_text(F.col("path")))
+
+
+@query(f"""WITH {_TRACE}, m AS (SELECT rank, t, CAST(seq % 7 AS BIGINT) AS other, seq % 100 AS size FROM tm WHERE n % 2 = 1 AND t_out IS NOT NULL AND path = 'view')
+SELECT made.rank, made.t, made.path, CAST(coalesce(size, 0) AS BIGINT) AS msg_size, coalesce(CAST(other AS VARCHAR), '-1') AS partners FROM made LEFT JOIN m USING (rank, t)""")
+def trace_partners(spark, sf_dir):
+    """Calls of a trace with the sizes and partners of the messages that they send."""
+    from loopscope.operators import callstacks
+    from loopscope.sources import trace as source
+
+    along = Window.partitionBy("rank").orderBy("t", "seq")
+    sent = trace(spark, sf_dir).withColumn("n", F.row_number().over(along)).withColumn("last", F.lead("t").over(along).isNull()).where("n % 2 = 1 and not last and path = 'view'")
+    text = F.concat_ws(":", F.lit("3:1:1"), F.col("rank") + 1, F.lit(1), F.col("t"), F.col("t"), F.lit("1:1"), F.col("seq") % 7 + 1, F.lit("1:-1:-1"), F.col("seq") % 100, F.lit(0))
+    messages = source.messages_of(sent.select(text.alias("value")))
+    found = callstacks.occurrences_of(labelled_events(spark, sf_dir), messages)
+    return found.select("rank", "t", paths.path_text(F.col("path")).alias("path"), "msg_size", F.array_join(F.col("partners").cast("array<string>"), ",").alias("partners"))
+
+
+@query(f"""WITH {_EV}, tm AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY t, seq) % 2 AS odd FROM ev)
+SELECT family, meaning, count(*) AS n FROM (
+SELECT 'MPI' AS family, CASE odd WHEN 1 THEN 'enter' ELSE 'exit' END AS meaning FROM tm UNION ALL SELECT 'HWC', 'counter' FROM tm, range(2)
+UNION ALL SELECT 'CALL', 'caller ' || r.range FROM tm, range(1, 4) r WHERE odd = 1 UNION ALL SELECT 'LINE', 'line ' || r.range FROM tm, range(1, 4) r WHERE odd = 1
+UNION ALL SELECT 'GLOP', unnest(['send size', 'receive size', 'communicator']) FROM tm WHERE odd = 1 AND length(path) = 5) GROUP BY ALL""")
+def event_meanings(spark, sf_dir):
+    from loopscope.sources import trace as source
+
+    return source.decoded(labelled_events(spark, sf_dir)).groupBy("family", "meaning").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(o_custkey AS INT) AS task, 1 AS thread, epoch_us(o_orderdate) AS t0, epoch_us(o_orderdate) + 5 AS t1, CAST(o_orderkey % 9 AS INT) AS state FROM orders")
+def trace_states(spark, sf_dir):
+    from loopscope.sources.trace import states_of
+
+    t = micros("o_orderdate")
+    text = F.concat_ws(":", F.lit("1:1:1"), F.col("o_custkey"), F.lit(1), t, t + 5, F.col("o_orderkey") % 9)
+    return states_of(_table(spark, sf_dir, "orders").select(text.alias("value")))
+
+
+@query("""SELECT l_suppkey AS send_task, CAST(1 AS BIGINT) AS send_thread, epoch_us(l_shipdate) AS t_send, epoch_us(l_shipdate) + 1 AS p_send, l_partkey AS recv_task, CAST(1 AS BIGINT) AS recv_thread, epoch_us(l_shipdate) + 7 AS t_recv,
+epoch_us(l_shipdate) + 8 AS p_recv, CAST(l_quantity AS BIGINT) AS size, CAST(l_linenumber AS BIGINT) AS tag FROM lineitem""")
+def trace_messages(spark, sf_dir):
+    from loopscope.sources.trace import messages_of
+
+    t = micros("l_shipdate")
+    text = F.concat_ws(":", F.lit("3:1:1"), F.col("l_suppkey"), F.lit(1), t, t + 1, F.lit("1:1"), F.col("l_partkey"), F.lit(1), t + 7, t + 8, F.col("l_quantity").cast("long"), F.col("l_linenumber"))
+    return messages_of(_table(spark, sf_dir, "lineitem").select(text.alias("value")))
+
+
+@query("SELECT n_name AS date, CAST(1000 + n_nationkey AS BIGINT) AS total, CAST(n_regionkey + 2 AS INT) AS tasks FROM nation")
+def trace_headers(spark, sf_dir):
+    from loopscope.sources.trace import header_of
+
+    text = F.concat(F.lit("#Trace ("), F.col("n_name"), F.lit("):"), (F.col("n_nationkey") + 1000).cast("string"), F.lit("_ns:1(4):1:"), (F.col("n_regionkey") + 2).cast("string"), F.lit("(1:1)"))
+    return header_of(_table(spark, sf_dir, "nation").select(text.alias("value")))
+
+
+def _dictionary(spark, sf_dir):
+    """One block of a dictionary's text for each region, one of its values for each nation."""
+    from loopscope.sources.trace import dictionary_of
+
+    both = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    values = both.groupBy("r_regionkey", "r_name").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", F.col("n_nationkey").cast("string"), "n_name"))), "\n").alias("v"))
+    block = F.concat(F.lit("EVENT_TYPE\n0 "), (F.col("r_regionkey") + 100).cast("string"), F.lit(" "), F.col("r_name"), F.lit("\nVALUES\n"), F.col("v"), F.lit("\n\n"))
+    return dictionary_of(values.agg(F.array_join(F.collect_list(block), "").alias("value")))
+
+
+@query("SELECT CAST(100 + r_regionkey AS VARCHAR) AS event_type, r_name AS type_name, CAST(n_nationkey AS VARCHAR) AS value, n_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey")
+def trace_dictionary(spark, sf_dir):
+    return _dictionary(spark, sf_dir)
+
+
+@query("SELECT CAST(100 + r_regionkey AS VARCHAR) AS event_type, n_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(r_name, 'IC')")
+def dictionary_matching(spark, sf_dir):
+    from loopscope.sources.trace import matching
+
+    return matching(_dictionary(spark, sf_dir), "IC").select("event_type", "label")
+
+
+@query("SELECT p_partkey, p_name AS fn, p_size AS line, p_name AS file, p_brand AS image, p_brand AS counter FROM part")
+def label_parts(spark, sf_dir):
+    from loopscope.sources.trace import call_name, counter_name, line_parts
+
+    size = F.col("p_size").cast("string")
+    line = line_parts(F.concat(size, F.lit(" ("), F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit(")")))
+    fn = call_name(F.concat(F.lit("x ["), F.col("p_name"), F.lit("<"), size, F.lit(">]")))
+    return _table(spark, sf_dir, "part").select("p_partkey", fn.alias("fn"), line["line"].alias("line"), line["file"].alias("file"), line["image"].alias("image"), counter_name(F.concat("p_brand", F.lit(" of "), "p_name")).alias("counter"))
+
+
+@query(f"WITH {_EV}, m AS (SELECT rank, t, seq, path = 'view' AS is_entry, lag(path = 'view') OVER (PARTITION BY rank ORDER BY t, seq) AS b FROM ev) SELECT rank, t, seq, is_entry FROM m WHERE is_entry = coalesce(b, false)")
+def unpaired_marks(spark, sf_dir):
+    marks = trace(spark, sf_dir).select("rank", "t", "seq", (F.col("path") == "view").alias("is_entry"))
+    return occurrences.unpaired(marks, ["rank"], "t", ["seq"], "is_entry")
+
+
+@query(f"""WITH {_INTERVALS}, c AS (SELECT e.rank, e.seq, max(iv.t_in) AS b FROM ev e LEFT JOIN iv ON iv.rank = e.rank AND iv.t_in <= e.t WHERE e.path = 'click' GROUP BY ALL)
+SELECT c.rank, c.seq, CASE WHEN iv.t_out > e.t THEN CAST(iv.t_in AS VARCHAR) ELSE '' END AS loop_stack FROM c JOIN ev e USING (rank, seq) LEFT JOIN iv ON iv.rank = c.rank AND iv.t_in = c.b""")
+def loop_stack_at_entry(spark, sf_dir):
+    clicks = _of(trace(spark, sf_dir), "click").select("rank", "seq", "t")
+    loops = _intervals(spark, sf_dir).select("rank", F.col("t_in").alias("loop"), F.lit(0).alias("level"), "t_in", "t_out")
+    found = occurrences.loop_stacks(clicks, loops, ["rank"], "t")
+    return found.select("rank", "seq", F.array_join(F.col("loop_stack").cast("array<string>"), ",").alias("loop_stack"))
+
+
+@query("""WITH calls AS (SELECT o_orderkey AS call, o_custkey AS rank, epoch_us(o_orderdate) AS t_in, epoch_us(o_orderdate) + 1 AS t_out FROM orders),
+msgs AS (SELECT o_custkey AS r, l_suppkey AS s, epoch_us(o_orderdate) + 1 AS tr, CAST(l_quantity AS BIGINT) AS size FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+sums AS (SELECT r AS rank, tr AS t_out, sum(size) AS size, list_sort(list_distinct(list(s))) AS partners FROM msgs GROUP BY r, tr)
+SELECT call, rank, t_in, CAST(coalesce(size, 0) AS BIGINT) AS msg_size, coalesce(array_to_string(partners, ','), '') AS partners FROM calls LEFT JOIN sums USING (rank, t_out)""")
+def message_receive(spark, sf_dir):
+    o, item = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    calls = o.select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("rank"), micros("o_orderdate").alias("t_in"), (micros("o_orderdate") + 1).alias("t_out"))
+    # Sent at an instant that no call starts at, so that only receivers' calls match.
+    messages = item.join(o, item["l_orderkey"] == o["o_orderkey"]).select(F.col("l_suppkey").alias("send_task"), F.col("o_custkey").alias("recv_task"), F.lit(-1).cast("long").alias("t_send"), (micros("o_orderdate") + 1).alias("t_recv"), F.col("l_quantity").cast("long").alias("size"))
+    return occurrences.match_messages(calls, messages).select("call", "rank", "t_in", "msg_size", F.array_join(F.col("partners").cast("array<string>"), ",").alias("partners"))
+
+
+@query("SELECT n_nationkey, n_name || '(CommId:' || n_regionkey || ')' AS label FROM nation")
+def collective_labels(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", scalars.collective_label(F.col("n_name"), F.col("n_regionkey")).alias("label"))
+
+
+@query(f"WITH {_URL} SELECT page_id, coalesce(p = lag(p) OVER (PARTITION BY p[3] ORDER BY url, page_id), false) AS same, array_to_string(list_concat(p[1:1], p[3:3]), ' ') AS joined FROM urls")
+def same_flow(spark, sf_dir):
+    frames = F.transform("p", lambda x, i: F.struct(x.alias("fn"), i.alias("line"), F.col("page_id").alias("file")))
+    rows = _urls(spark, sf_dir).withColumn("f", frames).withColumn("b", F.lag("f").over(Window.partitionBy(F.col("p")[2]).orderBy("url", "page_id")))
+    joined = F.array_join(paths.plus(F.slice("p", 1, 1), F.slice("p", 3, 1)), " ")
+    return rows.select("page_id", F.coalesce(paths.same_flow(F.col("f"), F.col("b")), F.lit(False)).alias("same"), joined.alias("joined"))
+
+
+# Rows of other reports
+
+
+@query("SELECT n_nationkey, rpad(substr(n_name, 1, 8), 8, ' ') AS left_cell, lpad(substr(n_name, 1, 5), 5, ' ') AS right_cell FROM nation")
+def table_cells(spark, sf_dir):
+    from loopscope.plans.render import cell
+
+    return _table(spark, sf_dir, "nation").select("n_nationkey", cell(F.col("n_name"), 8).alias("left_cell"), cell(F.col("n_name"), 5, left=False).alias("right_cell"))
+
+
+@query(f"""WITH {_INTERVALS}, s AS (SELECT rank, path, count(*) AS n, avg(duration) AS mean, stddev_pop(duration) AS stdev, avg(cents) AS c FROM iv GROUP BY rank, path)
+SELECT rank AS "Rank", path AS "Loop loc.", n AS "Total iters", round(mean, 4) AS "Iter time m", round(stdev, 4) AS "Iter time std", round(c, 4) AS cents_mean FROM s WHERE n > 1""")
+def loop_report(spark, sf_dir):
+    stats = loopstats.statistics(_intervals(spark, sf_dir), ["rank", "path"], "duration", ("cents",))
+    rows = stats.select("rank", F.col("path").alias("loop_loc"), F.col("n").alias("total_iters"), r4("mean", "iter_time_mean"), r4("stdev", "iter_time_std"), F.create_map(F.lit("cents"), r4("cents_mean")).alias("counter"))
+    return loopstats.csv_rows(rows, ["cents"])
+
+
+@query("SELECT l_suppkey AS rank, count(*) AS n_paths FROM lineitem WHERE l_linenumber = 4 GROUP BY 1")
+def at_share(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("rank"), F.col("l_linenumber").alias("n"), F.lit(1.0).alias("gap_mean"), F.lit(4.0).alias("total"))
+    return reduction.at_share(rows, 1.0).groupBy("rank").agg(F.count("*").alias("n_paths"))
+
+
+@query("""WITH m AS (SELECT greatest((SELECT max(o_totalprice) FROM orders), (SELECT max(l_extendedprice) FROM lineitem)) AS m)
+SELECT 'o' AS side, o_orderkey AS k, CAST(0 AS BIGINT) AS line, round(o_totalprice / m, 6) AS x FROM orders, m UNION ALL SELECT 'l', l_orderkey, CAST(l_linenumber AS BIGINT), round(l_extendedprice / m, 6) FROM lineitem, m""")
+def joint_norm(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.lit("o").alias("side"), F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("line"), F.col("o_totalprice").alias("v"))
+    item = _table(spark, sf_dir, "lineitem").select(F.lit("l").alias("side"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_extendedprice").alias("v"))
+    a, b = clustering.normalise_jointly([o, item], {"v": "x"})
+    return a.unionByName(b).select("side", "k", "line", F.round("x", 6).alias("x"))
+
+
+# Streams, over whole tables
+
+
+@query(f"WITH {_EV} SELECT rank, path, count(*) AS n, min(t) AS t_first, max(t) AS t_last, round((max(t) - min(t)) / nullif(count(*) - 1, 0), 4) AS gap_mean, CAST(sum(cents) AS BIGINT) AS cents_sum, round(avg(cents), 4) AS cents_mean, round(stddev_pop(cents), 4) AS cents_stdev FROM ev GROUP BY rank, path")
+def online_reduction(spark, sf_dir):
+    from loopscope.streaming.online import reduce_online
+
+    found = reduce_online(trace(spark, sf_dir), ["rank", "path"], "t", "cents")
+    return found.select("rank", "path", "n", "t_first", "t_last", r4("gap_mean"), "cents_sum", r4("cents_mean"), r4("cents_stdev"))
+
+
+@query(f"WITH {_EV} SELECT CAST(t // 3600000000 * 3600000000 AS BIGINT) AS start, path, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM ev GROUP BY 1, 2")
+def tumbling_windows(spark, sf_dir):
+    from loopscope.streaming.online import windows
+
+    found = windows(trace(spark, sf_dir).withColumn("ts", F.timestamp_micros("t")), "1 hour")
+    return found.select(F.unix_micros("start").alias("start"), "path", "n", "cents")
+
+
+@query(f"""WITH {_EV}, d AS (SELECT rank, path, seq, [CAST(rank AS VARCHAR), rank || '/' || path, rank || '/' || path || '/' || seq] AS keys FROM ev)
+SELECT rank, path, seq FROM d WHERE len(list_filter(keys, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) < {int(0.7 * (1 << 32))})) = 3""")
+def sampled_iterations(spark, sf_dir):
+    from loopscope.streaming.online import kept_by_sampling
+
+    rows = trace(spark, sf_dir).select("rank", "path", "seq").withColumn("around", F.array(F.col("rank").cast("string"), F.col("path"), F.col("seq").cast("string")))
+    return kept_by_sampling(rows, 0.7, "around").drop("around")
+
+
+@query(f"WITH {_EV} SELECT a.seq AS message, a.rank AS send_task, CASE WHEN b.path = 'view' THEN b.rank END AS recv_task FROM ev a LEFT JOIN ev b ON a.seq = b.seq AND b.path = 'view'")
+def outer_message_match(spark, sf_dir):
+    from loopscope.streaming.online import match_messages
+
+    rows = trace(spark, sf_dir).select(F.col("seq").alias("message"), F.timestamp_micros("t").alias("ts"), F.col("rank").alias("task"), "path")
+    return match_messages(rows.drop("path"), rows.where("path = 'view'").drop("path"), "1 hour", "1 hour").select("message", "send_task", "recv_task")

@@ -6,6 +6,7 @@ gives states, events and messages. Any first character but 1, 2 and 3 is left ou
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +16,17 @@ from pyspark.sql import functions as F
 FAMILIES = {"420000": "HWC", "500000": "MPI", "501000": "GLOP", "700000": "CALL", "800000": "LINE", "990000": "LOOP", "991000": "ITER", "992000": "NITER"}
 LEVEL_BASE = {"LOOP": 99000000, "ITER": 99100000, "NITER": 99200000}
 SEND_SIZE, RECV_SIZE, COMMUNICATOR = "50100001", "50100002", "50100004"
-#: Decoders of families beyond these can be added: a name and a Column of the row (type, value, label).
-DECODERS: dict[str, Column | None] = {}
+#: What an event says, by its family, as a Column of the row (type, value, label); more families and decoders can be added.
+DECODERS: dict[str, Callable[[], Column]] = {
+    "HWC": lambda: F.lit("counter"),
+    "MPI": lambda: F.when(F.col("value") == 0, "exit").otherwise("enter"),
+    "GLOP": lambda: F.when(F.col("type") == SEND_SIZE, "send size").when(F.col("type") == RECV_SIZE, "receive size").when(F.col("type") == COMMUNICATOR, "communicator").otherwise("other"),
+    "CALL": lambda: F.concat(F.lit("caller "), level_of("CALL")),
+    "LINE": lambda: F.concat(F.lit("line "), level_of("LINE")),
+    "LOOP": lambda: F.concat(F.when(F.col("value") == 0, "end ").otherwise("begin "), level("LOOP").cast("string")),
+    "ITER": lambda: F.concat(F.when(F.col("value") == 0, "end ").otherwise("begin "), level("ITER").cast("string")),
+    "NITER": lambda: F.concat(F.lit("iterations "), level("NITER").cast("string")),
+}
 
 
 @dataclass(frozen=True)
@@ -81,13 +91,30 @@ def level(family: str) -> Column:
     return F.col("type").cast("long") - LEVEL_BASE[family]
 
 
+def level_of(family: str) -> Column:
+    """The depth of a caller or of its line: what its type adds to the family's first."""
+    base = next(k for k, v in FAMILIES.items() if v == family)
+    return (F.col("type").cast("long") - int(base + "00")).cast("string")
+
+
+def decoded(events: DataFrame) -> DataFrame:
+    """``events`` with ``meaning``, by the decoder of each event's family."""
+    arms = F.coalesce(*[F.when(F.col("family") == family, make()) for family, make in DECODERS.items()])
+    return events.withColumn("meaning", arms)
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(event_type, type_name, value, label) of a dictionary file, which is small and read as one row.
+    """(event_type, type_name, value, label) of a dictionary file, which is small and read as one row; see ``dictionary_of``."""
+    return dictionary_of(spark.read.text(path, wholetext=True))
+
+
+def dictionary_of(files: DataFrame) -> DataFrame:
+    """(event_type, type_name, value, label) of a dictionary's whole text (value).
 
     A line EVENT_TYPE starts a block whose lines are ``group type name``; VALUES starts its values,
     lines of ``value label``. A blank line ends a block, a line GRADIENT_ takes the block out.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "x")).withColumn("file", F.lit(0))
+    rows = files.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "x")).withColumn("file", F.lit(0))
     order = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("x") == "EVENT_TYPE", "type").when(F.col("x") == "VALUES", "values").when(F.trim("x") == "", "none").when(F.col("x").startswith("GRADIENT_"), "none")
     block = F.sum((F.col("x") == "EVENT_TYPE").cast("int")).over(order)
@@ -138,5 +165,5 @@ def write_split(rows: DataFrame, path: str) -> None:
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """A split trace's lines; filters on kind and task prune folders."""
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """A split trace's lines with their kind and task; filters on these prune folders."""
+    return spark.read.schema("value string, kind string, task int").text(path).withColumn("line_no", F.monotonically_increasing_id())

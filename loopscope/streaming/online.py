@@ -34,14 +34,22 @@ def windows(events: DataFrame, length: str, slide: str | None = None, late: str
 
 
 def match_messages(sends: DataFrame, receives: DataFrame, late: str, apart: str) -> DataFrame:
-    """Stream-stream join of the two sides of messages by ``message``, both with event time ``ts``; state goes once ``late`` and ``apart`` have passed."""
+    """Stream-stream outer join of the two sides of messages by ``message``, both with event time ``ts``.
+
+    A side whose other has not come by the time ``late`` and ``apart`` have passed is given alone, and its state goes.
+    """
     s = sends.withWatermark("ts", late).select(F.col("message").alias("_m"), F.col("ts").alias("sent"), F.col("task").alias("send_task"))
     r = receives.withWatermark("ts", late).select("message", F.col("ts").alias("received"), F.col("task").alias("recv_task"))
     near = F.expr(f"received >= sent and received <= sent + interval {apart}")
-    return s.join(r, (F.col("_m") == F.col("message")) & near).select("message", "send_task", "recv_task", "sent", "received")
+    return s.join(r, (F.col("_m") == F.col("message")) & near, "full_outer").select(F.coalesce("message", "_m").alias("message"), "send_task", "recv_task", "sent", "received")
 
 
-def kept_by_sampling(rows: DataFrame, alpha: float, key: list[str], level: str) -> DataFrame:
-    """Iterations that sampling at the source keeps: a nested one only if all around it are kept too, each by the hash of its key."""
-    draw = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(draw < F.pow(F.lit(alpha), F.col(level) + 1))
+def kept_by_sampling(rows: DataFrame, alpha: float, path: str) -> DataFrame:
+    """Iterations that sampling at the source keeps, each with probability ``alpha``, a nested one only if all around it are kept.
+
+    ``path`` is the array of the keys of an iteration and those around it, outermost first. Each is
+    drawn by the hash of its own path, so that all that is nested in one sees the same draw.
+    """
+    steps = F.sequence(F.lit(1), F.size(path))
+    draw = lambda k: F.conv(F.substring(F.md5(F.array_join(F.slice(path, 1, k), "/")), 1, 8), 16, 10).cast("long")
+    return rows.where((F.size(path) > 0) & F.forall(steps, lambda k: draw(k) < F.lit(int(alpha * (1 << 32)))))

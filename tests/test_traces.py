@@ -331,6 +331,9 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.table("online"), *out) == rows(batch, *out)
     assert online.sessions(df, "1 hours").count() == 3
     assert rows(online.windows(df, "1 hour").agg(F.sum("n"))) == [(200,)]
-    assert 0 < online.kept_by_sampling(df.withColumn("level", F.lit(0)), 0.5, ["t"], "level").count() < 200
+    nested = df.select("rank", "path", "t").withColumn("around", F.array(F.col("rank").cast("string"), F.col("path").cast("string"), F.col("t").cast("string")))
+    kept = {tuple(r["around"]) for r in online.kept_by_sampling(nested, 0.9, "around").collect()}
+    around = {tuple(r["a"]) for r in online.kept_by_sampling(nested.select(F.slice("around", 1, 2).alias("a")).distinct(), 0.9, "a").collect()}
+    assert 0 < len(kept) < 200 and {k[:2] for k in kept} <= around
     sends = df.select(F.col("cents").alias("message"), "ts", F.col("rank").alias("task"))
     assert online.match_messages(sends, sends, "1 hour", "1 hour").count() == 200
