@@ -53,12 +53,13 @@ def nearest_parent(pairs: DataFrame, child: str, parent: str) -> DataFrame:
     return pairs.where(F.col(parent) > F.col(child)).groupBy(child).agg(F.min(parent).alias("parent"))
 
 
-def push_back(calls: DataFrame, loops: DataFrame, phase: str, line: str, iterations: str) -> DataFrame:
-    """(calls' columns, loop, own): the loop of the same phase, of other iterations, between whose first and last line a call lies.
+def push_back(calls: DataFrame, loops: DataFrame, phase: str, line: str, iterations: str, *, fewer: bool = False) -> DataFrame:
+    """(calls' columns, loop): the loop of the same phase, of other iterations, between whose first and last line a call lies.
 
-    Of several, the one with the fewest iterations takes it, then that of the smallest number.
+    With ``fewer`` only calls of fewer iterations than the loop's are taken. Of several, the one with the fewest iterations takes it, then that of the smallest number.
     """
-    fits = (F.col(line) > F.col("first_line")) & (F.col(line) < F.col("last_line")) & (F.col(iterations) != F.col("loop_iterations"))
+    other = F.col(iterations) < F.col("loop_iterations") if fewer else F.col(iterations) != F.col("loop_iterations")
+    fits = (F.col(line) > F.col("first_line")) & (F.col(line) < F.col("last_line")) & other
     found = calls.join(loops, phase).where(fits)
     return found.groupBy(*calls.columns).agg(F.min(F.struct("loop_iterations", "loop")).alias("_l")).select(*calls.columns, F.col("_l.loop").alias("loop"))
 

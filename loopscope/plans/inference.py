@@ -20,22 +20,26 @@ from loopscope.operators import alias, clustering, nesting, phases, ranks, reduc
 class Structure:
     """``reduced``: a row per rank and path with phase and cluster; ``loops``: loop, parent, merged,
     cluster_id, phase, iterations, original_iterations, hidden, top_level; ``items``: a row per loop
-    and path with its ranks and metrics."""
+    and path with its ranks, the mean of each metric, its frames' files and each rank's partners."""
 
     reduced: DataFrame
     loops: DataFrame
     items: DataFrame
 
 
+#: Metrics of calls that are carried along where the occurrences have them.
+METRICS = ("ins", "cyc", "burst_ns", "burst_ins", "burst_cyc", "send_size", "recv_size", "communicator", "msg_size")
+
+
 def path_key():
     """What makes paths equal: functions and lines, not files."""
     return F.transform("path", lambda f: F.struct(f["fn"].alias("fn"), f["line"].alias("line")))
 
 
-def infer(occurrences: DataFrame, *, bound: float = 0.01, phase_radius: float = 0.1, eps: float = 0.1, mode: str = "all", total: float | None = None, metrics: tuple[str, ...] = ()) -> Structure:
-    """Loops of a trace. ``total`` is the run's length, that of the occurrences if not given; ``mode`` is that of ``contains``."""
+def infer(occurrences: DataFrame, *, bound: float = 0.01, phase_radius: float = 0.1, eps: float = 0.1, mode: str = "all", total: float | None = None, metrics: tuple[str, ...] | None = None) -> Structure:
+    """Loops of a trace. ``metrics`` are columns of the occurrences, those of METRICS that they have if not given. ``total`` is the run's length, that of the occurrences if not given; ``mode`` is that of ``contains``."""
     rows = occurrences.withColumn("key", path_key()).withColumn("duration", F.col("t_out") - F.col("t"))
-    of = ("duration", *metrics)
+    of = ("duration", *(m for m in (METRICS if metrics is None else metrics) if m in rows.columns))
     totals = reduction.total_time(rows, "t") if total is None else rows.sparkSession.createDataFrame([(float(total),)], "total double")
     reduced = reduction.reduce_paths(rows, ["rank", "key"], "t", of)
     shared = reduction.keep_above(reduction.explained_share(reduced, totals), bound)
@@ -72,14 +76,42 @@ def infer(occurrences: DataFrame, *, bound: float = 0.01, phase_radius: float =
         loops.append(inside[0] | {"id": number, "iterations": max(x["times"] for x in inside), "gap": inside[0]["gap"] * inside[0]["iterations"] / inside[0]["times"], "hidden": True, "inside": None})
         for x in inside:
             x["inside"] = number
+    named = spark.createDataFrame([(c, s, i) for (c, s), i in numbers.items()], "cluster_id long, sub long, loop int")
+    own = placed.join(F.broadcast(named), ["cluster_id", "sub"])
+    moved = _conditioned(spark, own, loops)
+    if moved:
+        to = spark.createDataFrame(moved, own.select("loop", "key", F.col("loop").alias("to")).schema)
+        own = own.join(F.broadcast(to), ["loop", "key"], "left").withColumn("loop", F.coalesce("to", "loop")).drop("to").cache()
+        left = {r["loop"] for r in own.select("loop").distinct().collect()}
+        loops = [x for x in loops if x["hidden"] or x["id"] in left]
     nested = _nest(spark, instants, loops, mode)
     schema = "loop int, parent int, merged boolean, cluster_id long, phase double, iterations double, original_iterations long, hidden boolean, top_level boolean"
     table = spark.createDataFrame([(x["id"], x["parent"], x["merged"], x["cluster_id"], x["phase"], x["iterations"], x["original"], x["hidden"], x["parent"] is None) for x in nested], schema)
-    named = spark.createDataFrame([(c, s, i) for (c, s), i in numbers.items()], "cluster_id long, sub long, loop int")
-    own = placed.join(F.broadcast(named), ["cluster_id", "sub"])
     one = ranks.compact(own, ["loop"], "key", "rank", "t_first")
     stats = own.groupBy("loop", "key").agg(F.avg("n").alias("n"), *[F.avg(f"{m}_mean").alias(f"{m}_mean") for m in of])
-    return Structure(members, table, one.join(stats, ["loop", "key"]))
+    items = one.join(stats, ["loop", "key"])
+    if "file" in rows.schema["path"].dataType.elementType.names:
+        items = items.join(rows.groupBy("key").agg(F.min(F.transform("path", lambda f: f["file"])).alias("files")), "key", "left")
+    if "partners" in rows.columns:
+        met = rows.select("key", "rank", F.explode("partners").alias("p")).groupBy("key", "rank").agg(F.sort_array(F.collect_set("p")).alias("partners"))
+        items = items.join(met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "partners"))).alias("partners")), "key", "left")
+    return Structure(members, table, items)
+
+
+def _conditioned(spark, own: DataFrame, loops: list[dict]) -> list[tuple]:
+    """(loop, key, to): calls that a condition on data keeps from some iterations.
+
+    Such a call has fewer iterations than a loop of its phase between whose first and last lines it
+    stands; a call of a loop around that one stands before or after it.
+    """
+    free = [(x["id"], float(x["phase"]), x["iterations"]) for x in loops if not x["hidden"] and x["inside"] is None]
+    if len(free) < 2:
+        return []
+    listed = spark.createDataFrame(free, "loop int, phase double, its long")
+    lined = own.select("loop", "key", F.transform("key", lambda f: f["line"]).alias("lines")).distinct().join(F.broadcast(listed), "loop")
+    targets = lined.groupBy("phase", "loop").agg(F.min("lines").alias("first_line"), F.max("lines").alias("last_line"), F.first("its").alias("loop_iterations"))
+    calls = lined.withColumnRenamed("loop", "of")
+    return [(r["of"], r["key"], r["loop"]) for r in nesting.push_back(calls, targets, "phase", "lines", "its", fewer=True).collect()]
 
 
 def _nest(spark, instants: DataFrame, loops: list[dict], mode: str) -> list[dict]:

@@ -13,7 +13,7 @@ from loopscope.plans.inference import Structure
 
 
 class Shell(cmd.Cmd):
-    """Commands: ``pseudocode [default | wo-cs | ranks a,b | w-burst-threshold x]``, ``show loop n``, ``clustering``, ``quit``."""
+    """Commands: ``pseudocode [default | wo-cs | ranks a,b | w-burst-info | w-burst-threshold x]``, ``show loop n``, ``clustering``, ``quit``."""
 
     prompt = "loopscope> "
 
@@ -29,12 +29,14 @@ class Shell(cmd.Cmd):
             self.filters["leaf_only"] = True
         elif words[:1] == ["ranks"] and len(words) == 2:
             self.filters["shown"] = [int(x) for x in words[1].split(",")]
+        elif words[:1] == ["w-burst-info"]:
+            self.filters["bursts"] = True
         elif words[:1] == ["w-burst-threshold"] and len(words) == 2:
             self.filters["least_burst"] = float(words[1])
         elif words:
             print(self.__doc__, file=self.stdout)
             return
-        for r in render.text_of(render.lines_of(self.structure, **self.filters)).collect():
+        for r in render.rendered(self.structure, **self.filters).collect():
             print(r["text"].rstrip(), file=self.stdout)
 
     def do_clustering(self, arg: str) -> None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopscope.functions import paths, scalars
-from loopscope.operators import alias, clustering, flow, loopstats, nesting, occurrences, phases, ranks, reduction
+from loopscope.operators import alias, callstacks, clustering, flow, loopstats, nesting, occurrences, phases, ranks, reduction
 from loopscope.plans import render, shell
 from loopscope.plans.inference import infer
 from loopscope.sources import dumps, trace
@@ -292,9 +292,43 @@ def test_ranks_apart(spark):
     loops, items = tree(found)
     assert len(loops) == 1 and items[0] == [(40, "MPI_Send", [0, 2]), (42, "MPI_Send", [1, 3]), (44, "MPI_Recv", [0, 2]), (46, "MPI_Recv", [1, 3]), (50, "MPI_Barrier", [0, 1, 2, 3])]
     codes = [r["code"] for r in render.lines_of(found).collect()]
-    assert sum(c.startswith("IF rank in 0,2") for c in codes) == 2
+    assert [c for c in codes if c.startswith(("IF", "EL"))] == ["IF rank in [0,2]", "ELSE"] * 2
     shown = [r["code"] for r in render.lines_of(found, shown=[1], leaf_only=True).collect()]
-    assert shown == ["FOR 1 TO 40 [id=0.0]", "IF rank in 1,3", "MPI_Send()", "IF rank in 1,3", "MPI_Recv()", "MPI_Barrier()", "END LOOP [id=0.0]"]
+    assert shown == ["FOR 1 TO 40 [id=0.0]", "IF rank in [1,3]", "MPI_Send()", "MPI_Recv()", "MPI_Barrier()", "END LOOP [id=0.0]"]
+
+
+def test_ranks_within_ranks(spark):
+    codes = [(r["depth"], r["code"]) for r in render.lines_of(infer(tracegen.parts().frame(spark)), leaf_only=True).collect()]
+    assert codes[1:-1] == [
+        (1, "MPI_Barrier()"), (1, "IF rank in [0,1,2]"), (2, "MPI_Send()"), (2, "IF rank in [1]"), (3, "MPI_Bcast()"), (2, "MPI_Recv()"), (1, "ELSE"), (2, "MPI_Wait()"), (1, "MPI_Barrier()"),
+    ]
+
+
+def test_a_condition_on_data(spark):
+    found = infer(tracegen.conditioned().frame(spark))
+    assert [(r["iterations"], r["parent"]) for r in found.loops.collect()] == [(30.0, None)]
+    codes = [r["code"] for r in render.lines_of(found, leaf_only=True).collect()]
+    assert codes[1:-1] == ["MPI_Send()", "50% => MPI_Bcast()", "MPI_Recv()"]
+
+
+def test_from_the_text_of_a_trace_to_pseudo_code(spark):
+    numbers: dict[str, int] = {}
+    program = tracegen.conditioned()
+    lines = spark.createDataFrame([(x, k) for k, x in enumerate(tracegen.text_of(program, numbers))], "value string, line_no long").repartition(3)
+    labels = spark.createDataFrame([(kind, v, fn) for fn, v in numbers.items() for kind in ("50000001", "70000001", "70000002")], "event_type string, value long, label string")
+    events = trace.translate(trace.events_of(lines).withColumnRenamed("type", "event_type"), labels).withColumnRenamed("event_type", "type")
+    calls = callstacks.occurrences_of(events, trace.messages_of(lines))
+    made, given = ({(r["rank"], r["t"], r["t_out"], tuple((f["fn"], f["line"]) for f in r["path"])) for r in df.collect()} for df in (calls, program.frame(spark)))
+    assert made == given
+    found = infer(calls)
+    shown = {r["code"]: (r["file"], r["e_time"], r["e_size"], r["e_ipc"]) for r in render.lines_of(found, leaf_only=True).collect()}
+    assert shown["MPI_Send(0:1 1:0)"] == ("libmpi", "100.0ns", "4.0KB", "1.5")
+    assert shown["50% => MPI_Bcast(CommId:3)"] == ("libmpi", "100.0ns", "2.0KB/500.0B", "1.5")
+    bursts = [r for r in render.lines_of(found, bursts=True).collect() if r["code"] == "[~ computation ~]"]
+    assert len(bursts) == 3 and {r["e_ipc"] for r in bursts} == {"0.25"}
+    assert len(bursts) > len([r for r in render.lines_of(found, least_burst=950.0).collect() if r["code"] == "[~ computation ~]"])
+    with pytest.raises(ValueError, match="bursts"):
+        render.lines_of(infer(program.frame(spark)), bursts=True)
 
 
 def test_hidden_loop(spark):

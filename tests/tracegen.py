@@ -21,6 +21,51 @@ class Program:
         return spark.createDataFrame(self.rows, SCHEMA)
 
 
+def conditioned(n: int = 30) -> Program:
+    """A call in every other iteration, between two that all iterations make."""
+    p = Program(2)
+    for rank in range(2):
+        for k in range(n):
+            p.call(rank, "MPI_Send", ("main", 10))
+            if k % 2:
+                p.call(rank, "MPI_Bcast", ("main", 12))
+            p.call(rank, "MPI_Recv", ("main", 14))
+    return p
+
+
+def parts(n: int = 20) -> Program:
+    """Calls of all ranks, of three of four, and of one of these."""
+    p = Program(4)
+    for rank in range(4):
+        for k in range(n):
+            p.now[rank] = (10 * k + 1) * p.step
+            p.call(rank, "MPI_Barrier", ("main", 10))
+            if rank < 3:
+                p.call(rank, "MPI_Send", ("main", 12))
+                if rank == 1:
+                    p.call(rank, "MPI_Bcast", ("main", 14))
+                p.call(rank, "MPI_Recv", ("main", 16))
+            else:
+                p.call(rank, "MPI_Wait", ("main", 18))
+            p.call(rank, "MPI_Barrier", ("main", 20))
+    return p
+
+
+def text_of(program: Program, numbers: dict[str, int]) -> list[str]:
+    """The records of a program's calls, each followed by its end; what they sent goes to the next rank."""
+    out = []
+    for rank, t, t_out, path in program.rows:
+        call = numbers.setdefault(path[-1]["fn"], len(numbers) + 1)
+        frames = "".join(f":7000000{k}:{numbers.setdefault(f['fn'], len(numbers) + 1)}:8000000{k}:{f['line']}" for k, f in enumerate(reversed(path[:-1]), 1))
+        sizes = ":50100001:2000:50100002:500:50100004:3" if path[-1]["fn"] == "MPI_Bcast" else ""
+        out.append(f"2:1:1:{rank + 1}:1:{t}:50000001:{call}{frames}:42000050:300:42000059:200{sizes}")
+        out.append(f"2:1:1:{rank + 1}:1:{t_out}:50000001:0:42000050:1000:42000059:4000")
+        if path[-1]["fn"] == "MPI_Send":
+            other = (rank + 1) % program.ranks
+            out.append(f"3:1:1:{rank + 1}:1:{t}:{t}:1:1:{other + 1}:1:-1:-1:4096:0")
+    return out
+
+
 def triple_nest(n: int = 5) -> Program:
     p = Program(2)
     for rank in range(2):
@@ -71,7 +116,7 @@ def hidden_parent(n: int = 20, inner: int = 10) -> Program:
 
 
 TRACE = """\
-#Paraver (01/02/2020 at 10:11):5000_ns:1(2):1:2(1:1,1:1)
+#Trace (01/02/2020 at 10:11):5000_ns:1(2):1:2(1:1,1:1)
 c:1:1:2:1:2
 1:1:1:1:1:0:500:1
 2:1:1:1:1:1000:50000001:2:70000001:1:80000001:1:70000002:2:80000002:2:42000050:10:12345678:9
