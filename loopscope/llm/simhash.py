@@ -36,7 +36,7 @@ from loopscope.llm.tables import Stored
 #: Words in a shingle, bits in which linked fingerprints may differ (the keys serve up to 2).
 SHINGLE, BITS = 3, 2
 #: Fingerprints of one key that are paired; keys with more go by the words around each.
-PAIRED = groups.PAIRED
+PAIRED = 32
 #: The hash's seed and the Golay code's generator polynomial.
 SEED = 42
 GENERATOR = 0b110001110101
@@ -233,14 +233,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keyed = _all_keys(classes.where("n > 0"))
     sizes = Stored(keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("c").alias("a"), F.max("c").alias("b")).where("k > 1"), "sizes").df
     shared = Stored(keyed.join(sizes.where("k > 2").select("key", "k"), "key").join(classes.select("c", "n"), "c"), "shared").df
-    pairs = sizes.where("k = 2").select("a", "b").unionByName(groups.pairs_within(shared.where(F.col("k") <= PAIRED), ["n"], shingles.possible)).distinct()
+    pairs = sizes.where("k = 2").select("a", "b").unionByName(groups.pairs_within(shared.where(F.col("k") <= groups.PAIRED), ["n"], shingles.possible)).distinct()
     # Pairs whose fingerprints are far apart as a whole share a key by chance.
     bits = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     with_fps = classes.select("c", "n", "fps")
     pairs = pairs.join(with_fps.toDF("a", "na", "fa"), "a").join(with_fps.toDF("b", "nb", "fb"), "b")
     fits = shingles.possible(lambda n: F.col(f"{n}a"), lambda n: F.col(f"{n}b"))
     pairs = Stored(pairs.where(fits & (bits <= APART * 64 * FINGERPRINTS)).select("a", "b"), "pairs").df
-    many = shared.where(F.col("k") > PAIRED).select("key", "c", "n")
+    many = shared.where(F.col("k") > groups.PAIRED).select("key", "c", "n")
     wanted = many.select("c").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = Stored(wanted.join(classes, "c").select(F.col("rep").alias("id"), "c"), "wanted").df
     # Rows can repeat an id and a text.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loopscope.llm import ann, shingles, simhash
+from loopscope.llm import ann, groups, shingles, simhash
 from tests.llm.test_operators import SCHEMA, joined
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +51,7 @@ def brute_similar(rows, n):
 def test_near_copies_are_found_at_shingle_similarity(spark, monkeypatch, paired):
     import corpus_pipeline
 
-    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(groups, "PAIRED", paired)
     rows = near_copies()
     docs = spark.createDataFrame(rows, SCHEMA)
     roots = brute_similar(rows, shingles.SHINGLE)
