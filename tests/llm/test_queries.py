@@ -160,3 +160,19 @@ def test_no_documents(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_columns_of_any_name(spark, documents):
+    """Names that stages use within themselves, rows without an id and rows of one id."""
+    item = duckdb.connect().execute(f"SELECT text FROM '{SF}/benchmark.parquet' LIMIT 1").fetchone()[0]
+    rows = [r for r in documents if len(r[1]) < 1500][:25] + [(None, "Here: " + item, "en", "s", 1), (7000, "Here: " + item, "en", "s", 1), (7000, documents[0][1][:300] + " of another row", "en", "s", 1)]
+    names = ("score", "_lines", "gone", "leaked", "key", "row", "c0", "lang_pred", "n_removed", "root", "predicted")
+    plain = spark.createDataFrame(rows, SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, plain.withColumns({c: F.lit("x") for c in names}), SF)
+        assert found.columns == [*plain.columns, *names]
+        assert rows_of(found.select(plain.columns)) == rows_of(stage(spark, plain, SF))
+    left = corpus_pipeline.decontaminate(spark, plain, SF).collect()
+    assert not any(item in r["text"] for r in left) and sum(r["doc_id"] == 7000 for r in left) == 1
+    mixed = corpus_pipeline.mixing_to_weights(spark, plain.withColumn("copy", F.lit("x")), SF)
+    assert rows_of(mixed) == rows_of(corpus_pipeline.mixing_to_weights(spark, plain, SF))
