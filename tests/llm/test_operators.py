@@ -484,6 +484,17 @@ def test_line_fingerprints_of_any_length(spark):
         assert found[n] == sum(1 << b for b in range(lines.WIDTH) if 2 * sum(h >> b & 1 for h in hashes) > n)
 
 
+def test_line_fingerprints_about_the_sizes_of_parts(spark):
+    draw = np.random.default_rng(2)
+    sizes = (15, 16, 30, 31, 45, 46, 59, 60, 61, 75, 119, 120, 121)
+    # Random hashes, and some of which all have all bits or none.
+    rows = [(n, kind, [-1] * n if kind == 1 else [0] * n if kind == 2 else draw.integers(-(2**63), 2**63 - 1, n).tolist()) for n in sizes for kind in range(3)]
+    made = spark.createDataFrame([*rows, (-1, 0, None)], "i long, kind long, hashes array<long>")
+    found = {(r[0], r[1]): r[2] for r in made.selectExpr("i", "kind", lines.simhash("hashes")).collect()}
+    assert found.pop((-1, 0)) is None
+    assert found == {(n, kind): sum(1 << b for b in range(lines.WIDTH) if 2 * sum(h >> b & 1 for h in hashes) > n) for n, kind, hashes in rows}
+
+
 def test_no_lines(none):
     assert lines.dedup_lines(none).count() == 0
 
