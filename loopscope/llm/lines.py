@@ -2,16 +2,17 @@
 
 Lines are normalised to their words (lower case, blanks between them). A line's SimHash has 60 bits
 over its words of six letters and more, or over three characters at a time where it has few words.
-Fingerprints are cut into four blocks. Lines that agree in two of them and differ in at most five
-bits are candidates, and so are any two that differ in at most two bits: every line is joined on its
-six pairs of blocks, and no candidate is lost however many lines share a pair (see ``groups``).
-Candidates are verified by the edit similarity of the normalised lines, at their full length. Of
-each connected group of lines one occurrence is kept: the first by document and place.
+Any two lines that differ in at most five bits are candidates: every line has 63 keys, each of about
+half of its bits, of which two such lines always share one (see ``_masks``), and no candidate is lost
+however many lines share a key (see ``groups``). Candidates are verified by the edit similarity of
+the normalised lines, at their full length. Of each connected group of lines one occurrence is kept:
+the first by document and place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ PAIRED = groups.PAIRED
 #: Edit distances that are looked for first, since near copies are found within narrow bands.
 BANDS = (16, 128, 1024)
 
-#: Bits of a fingerprint and of its blocks.
-WIDTH, BLOCKS = 60, (15, 15, 15, 15)
+#: Bits of a fingerprint, and keys that are grouped at once, which bounds what is on disk.
+WIDTH, RUN = 60, 9
 #: Keys, or places of lines, that are handed to all tasks, at most (some 25 MB); more are joined by sorting.
 HANDED = 500_000
 #: A one in each of 15 half bytes and in each of seven bytes of four bits, hashes that a half byte can count, and parts of as many hashes that are counted at once.
@@ -130,13 +131,21 @@ def _similar(a: str, b: str) -> Column:
     return F.expr(f"{out}[0]")
 
 
-def _keys(prints: DataFrame) -> DataFrame:
-    """(key, c, fp): the six pairs of blocks of every fingerprint (c, fp)."""
-    at = [sum(BLOCKS[:k]) for k in range(4)]
-    block = [F.shiftrightunsigned("fp", at[k]).bitwiseAND(F.lit((1 << BLOCKS[k]) - 1).cast("long")) for k in range(4)]
-    pairs = [(a, b) for a in range(4) for b in range(a)]
-    keys = [F.lit(t << 32).cast("long").bitwiseOR(F.shiftleft(block[a], 15)).bitwiseOR(block[b]) for t, (a, b) in enumerate(pairs)]
-    return prints.select(F.explode(F.array(keys)).alias("key"), "c", "fp")
+def _masks() -> list[int]:
+    """The bits that each key of a fingerprint is made of; two fingerprints that differ in at most BITS bits agree in all bits of one.
+
+    Every bit has a vector of BITS + 1 bits that is not zero, and every such vector v a key: of the bits whose vectors have an odd number
+    of ones in common with v. The vectors of BITS bits leave one dimension at least, so that some v has an even number in common with each
+    of them; its key has none of these bits.
+    """
+    vectors = [1 + i % ((2 << BITS) - 1) for i in range(WIDTH)]
+    return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, 2 << BITS)]
+
+
+def _keys(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, c, fp): the keys of every fingerprint (c, fp) by ``masks``."""
+    longs = [F.lit(m).cast("long") for m in masks]
+    return prints.select(F.explode(F.array([F.xxhash64(m, F.col("fp").bitwiseAND(m)) for m in longs])).alias("key"), "c", "fp")
 
 
 def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
@@ -146,15 +155,20 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
 def _links(exact: DataFrame, own: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what linked lines of ``exact`` (c, first, fp), each once, connect; their texts are in ``own`` (id, text)."""
     prints = exact.where("fp is not null").select("c", "fp")
-    keyed = _keys(prints)
-    # Of two lines all there is to know is in the sums of their key.
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b"), F.bit_xor("fp").alias("x"))
-    sizes = Stored(sizes.where("n > 1"), "keys").df
-    pairs = sizes.where((F.col("n") == 2) & (F.bit_count("x") <= BITS)).select("a", "b")
+    masks = _masks()
+    runs = [masks[k : k + RUN] for k in range(0, len(masks), RUN)]
+
+    def grouped(run: list[int]) -> DataFrame:
+        # Of two lines all there is to know is in the sums of their key.
+        return _keys(prints, run).groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b"), F.expr("bit_xor(fp ^ c)").alias("x")).where("n > 1")
+
+    sizes = reduce(DataFrame.unionByName, [Stored(grouped(run), "keys").df for run in runs])
+    pairs = sizes.where((F.col("n") == 2) & (F.bit_count(F.expr("x ^ a ^ b")) <= BITS)).select("a", "b")
+    # Keys of the same lines, which have the same sums, count once.
+    several = Stored(sizes.where("n > 2").groupBy("n", "a", "b", "x").agg(F.min("key").alias("key")).select("key", "n"), "several").df
     # Tables that follow the documents are joined by sorting, but for keys of several lines while these are few.
-    several = sizes.where("n > 2").select("key", "n")
     several = several.hint("broadcast" if several.count() <= HANDED else "merge")
-    shared = Stored(keyed.join(several, "key"), "shared").df
+    shared = reduce(DataFrame.unionByName, [Stored(_keys(prints, run).join(several, "key"), "shared").df for run in runs])
     pairs = pairs.unionByName(groups.pairs_within(shared.where(F.col("n") <= PAIRED), ["fp"], _near))
     pairs = Stored(pairs.distinct(), "candidates").df
     many = shared.where(F.col("n") > PAIRED).select("key", "c", "fp")

@@ -401,11 +401,6 @@ def line_similar(a, b):
     return row[-1] <= 0.2 * max(len(a), len(b)) + 1e-9
 
 
-def blocks_agree(x, y):
-    at = np.cumsum([0, *lines.BLOCKS])
-    return sum((x >> int(a) & ((1 << w) - 1)) == (y >> int(a) & ((1 << w) - 1)) for a, w in zip(at, lines.BLOCKS)) >= 2
-
-
 def brute_lines(rows):
     """Which (id, place) are left out, by the rule on all pairs of lines."""
     first, places = {}, []
@@ -418,7 +413,7 @@ def brute_lines(rows):
     for i, p, x in sorted(places):
         first.setdefault(x, (i, p))
     prints = [(x, f) for x in first if (f := line_print(x)) is not None]
-    near = [(x, y) for k, (x, f) in enumerate(prints) for y, g in prints[k + 1 :] if (f ^ g).bit_count() <= lines.BITS and blocks_agree(f, g)]
+    near = [(x, y) for k, (x, f) in enumerate(prints) for y, g in prints[k + 1 :] if (f ^ g).bit_count() <= lines.BITS]
     groups = joined([(x, y) for x, y in near if line_similar(x, y)], set(first))
     kept = {}
     for x, g in groups.items():
@@ -465,6 +460,26 @@ def test_unrelated_lines_part_no_similar_ones(spark):
         assert (found[1], found[2]) == (0, 1)
 
 
+def test_keys_miss_no_line_within_the_bits():
+    draw, masks = random.Random(3), lines._masks()
+    assert all(any(not m & bits for m in masks) for bits in (sum(1 << b for b in draw.sample(range(lines.WIDTH), lines.BITS)) for _ in range(20_000)))
+    # A key has enough bits for unlike lines to share few.
+    assert min(m.bit_count() for m in masks) >= 28
+
+
+def test_lines_that_differ_in_bits_all_over_are_linked(spark):
+    draw, rows = random.Random(4), []
+    blocks = lambda x: [x >> 15 * k & 0x7FFF for k in range(4)]
+    while len(rows) < 40:
+        words = ["".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(40)]
+        other = [*words[:-1], "".join(draw.choice("klmnop") for _ in range(7))]
+        one, two = line_print(" ".join(words)), line_print(" ".join(other))
+        if 3 <= (one ^ two).bit_count() <= lines.BITS and sum(map(int.__eq__, blocks(one), blocks(two))) < 2:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    found = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i % 2 for i, _ in rows}
+
+
 def test_long_lines_are_compared_as_a_whole(spark):
     draw = random.Random(2)
     words = ["".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(1400)]
