@@ -95,19 +95,21 @@ def _scored(distances: np.ndarray, length: int) -> tuple[int, float]:
     return best, float(1 - distances[best] / (length * PROFILE))
 
 
-def fit(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Profiles:
+def fit(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int | None = FIT_ROWS) -> Profiles:
     """Profiles of each language from the rows that ``train`` holds for and that have a text and a language.
 
     Of each language about ``rows`` rows are used, those with the smallest hashes of their ids (all
-    of them if there are fewer); n-grams are counted over their whole texts.
+    of them if there are fewer, or ``rows`` is None); n-grams are counted over their whole texts.
     """
     own = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("draw")
     )
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Profiles({})
-    share = reduce(add, (F.when(F.col("lang") == x, F.lit(min(1.0, rows / n))).otherwise(0.0) for x, n in sizes.items()))
+    if rows is not None:
+        sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        if not sizes:
+            return Profiles({})
+        share = reduce(add, (F.when(F.col("lang") == x, F.lit(min(1.0, rows / n))).otherwise(0.0) for x, n in sizes.items()))
+        own = own.where(F.col("draw") < share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of each language's n-grams in a partition."""
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: s
             found, counts = _merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(counts)], ["lang", "gram", "n"])
 
-    counted = own.where(F.col("draw") < share * (1 << 30)).select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = own.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top: dict[str, list[tuple[int, int]]] = {}
     for r in counted.withColumn("rank", best).where(F.col("rank") <= PROFILE).collect():

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loopscope.llm import ann, groups, shingles, simhash
+from loopscope.llm import ann, groups, langid, shingles, simhash
 from tests.llm.test_operators import SCHEMA, joined
 
 SF = "/root/testdata/sf0.001"
@@ -98,6 +98,25 @@ def test_gibberish_and_unlearnt_languages_are_rejected(spark):
     assert kept == ids
 
 
+@pytest.mark.parametrize("few", [50, 100_000])
+def test_language_stage_learns_from_all_documents(spark, monkeypatch, few):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "SORTED", few, raising=False)
+    draw = random.Random(6)
+    words = {lang: ["".join(draw.choice(letters) for _ in range(draw.randint(1, 6))) for _ in range(300)] for lang, letters in (("en", "abcdefgh"), ("fr", "efghijkl"))}
+    rows = [(i, " ".join(draw.choice(words[lang]) for _ in range(3)), lang, "s", 1) for i in range(33_000) for lang in [draw.choice(["en", "fr"])]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    every, fit, made = langid.fit(docs, part != 1, rows=1 << 40), langid.fit, []
+    monkeypatch.setattr(langid, "fit", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
+    corpus_pipeline.language_id(spark, docs, "")
+    assert np.array_equal(made[0].known, every.known) and np.array_equal(made[0].ranks, every.ranks)
+    held = docs.where(part == 1)
+    scores = [r["score"] for r in langid.predict(held, every, keep=("lang",)).collect() if r["lang"] == r["lang_pred"]]
+    assert len(scores) > 10_000 and corpus_pipeline.least_score(held, every) == pytest.approx(corpus_pipeline.SHARE * np.quantile(scores, corpus_pipeline.SURE), rel=1e-12)
+
+
 def test_nearest_on_clusters_over_several_shards(spark):
     draw = np.random.default_rng(5)
     middle = draw.normal(size=(100, 32))
