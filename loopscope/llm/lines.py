@@ -32,6 +32,8 @@ LONG = 6
 PAIRED = groups.PAIRED
 #: Edit distances that are looked for first, since near copies are found within narrow bands.
 BANDS = (16, 128, 1024)
+#: Different words that can be written as one character each.
+CODES = 255
 
 #: Bits of a fingerprint, and keys that are grouped at once, which bounds what is on disk.
 WIDTH, RUN = 60, 9
@@ -107,7 +109,8 @@ def _similar(a: str, b: str) -> Column:
     """Whether two lines, as arrays of words, have the edit similarity wanted.
 
     Words that both begin with, and then those that both end with, leave the distance as it is and
-    are taken off; what is left is compared within bands about the diagonal, narrow ones first.
+    are taken off. Lines of which few words differ are near, whatever these are; what is left is
+    compared within bands about the diagonal, narrow ones first.
     """
     same = "coalesce(nullif(array_position(zip_with({x}, {y}, (p, q) -> coalesce(p = q, false)), false), 0) - 1, size({x}))"
     head = same.format(x="v.a", y="v.b")
@@ -115,13 +118,17 @@ def _similar(a: str, b: str) -> Column:
     rest = "array_join(slice({x}, 1, size({x}) - {n}), ' ')"
     # Word by word, lines of as many words are at least as near as their words' distances say.
     most = "if(size(u.a) = size(u.b), aggregate(zip_with(u.a, u.b, (p, q) -> if(p = q, 0, levenshtein(p, q))), 0, (s, x) -> s + x), null)"
+    # A changed word costs its letters and a blank at most, so that lines are at least as near as the edit distance of their words says, each written as one character.
+    coded = "array_join(transform({x}, w -> chr(array_position(d, w))), '')"
+    changes = "cast(u.limit div array_max(transform(d, w -> char_length(w) + 1)) as int)"
+    few = _once("array_distinct(concat(u.a, u.b))", "d", f"if(size(d) <= {CODES}, levenshtein({coded.format(x='u.a')}, {coded.format(x='u.b')}, {changes}) >= 0, false)")
     limit = f"cast(floor((1 - {SIMILARITY}) * greatest(length(array_join({a}, ' ')), length(array_join({b}, ' '))) + 1e-9) as int)"
     within = " or ".join(["levenshtein(m.a, m.b, least(m.limit, {})) >= 0".format(BANDS[0]), *(f"(m.limit > {n} and levenshtein(m.a, m.b, least(m.limit, {more})) >= 0)" for n, more in zip(BANDS, [*BANDS[1:], "m.limit"], strict=True))])
     steps = [
         f"array(named_struct('a', {a}, 'b', {b}, 'limit', {limit}))",
         f"v -> named_struct('p', {head}, 'a', v.a, 'b', v.b, 'limit', v.limit)",
         "v -> named_struct('a', slice(v.a, v.p + 1, size(v.a)), 'b', slice(v.b, v.p + 1, size(v.b)), 'limit', v.limit)",
-        f"u -> named_struct('n', cast({tail} as int), 'near', coalesce({most} <= u.limit, false), 'a', u.a, 'b', u.b, 'limit', u.limit)",
+        f"u -> named_struct('n', cast({tail} as int), 'near', coalesce({most} <= u.limit, false) or coalesce({few}, false), 'a', u.a, 'b', u.b, 'limit', u.limit)",
         f"u -> if(u.near, null, named_struct('a', {rest.format(x='u.a', n='u.n')}, 'b', {rest.format(x='u.b', n='u.n')}, 'limit', u.limit))",
         f"m -> m is null or (abs(length(m.a) - length(m.b)) <= m.limit and ({within}))",
     ]
@@ -187,9 +194,14 @@ def _links(exact: DataFrame, own: DataFrame) -> DataFrame:
         near = _near(lambda n: F.col("fa"), lambda n: F.col("fb"))
         return both.select("a", "b", F.lit(0.0).alias("j"), F.when(near, _similar("na", "nb")).otherwise(False).alias("linked"))
 
-    linked = verified(pairs).where("linked").select("a", "b")
-    in_many = groups.links_by_pivots(many, ["fp"], verified, _near, _near)
-    return linked if in_many is None else linked.unionByName(in_many)
+    found = groups.links_by_pivots(many, ["fp"], verified, _near, _near)
+    if found is None:
+        return verified(pairs).where("linked").select("a", "b")
+    in_many, roots = found
+    # Pairs that links join already aren't compared.
+    known = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    left = known.where("ra is null or rb is null or ra <> rb").select("a", "b")
+    return verified(left).where("linked").select("a", "b").unionByName(in_many)
 
 
 def dedup_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

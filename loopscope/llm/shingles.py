@@ -83,4 +83,5 @@ def reach(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
 
 def links(keyed: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Edges (a, b) that connect what similar sets within each key of (key, c, n) connect, however many have the key."""
-    return groups.links_by_pivots(keyed, ["n"], lambda pairs, _: verified(pairs, sets), possible, reach)
+    found = groups.links_by_pivots(keyed, ["n"], lambda pairs, _: verified(pairs, sets), possible, reach)
+    return None if found is None else found[0]
