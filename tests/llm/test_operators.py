@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loopscope.llm import ann, components, contamination, langid, lines, mixing, quality, simhash, substring, tokens, warc
+from loopscope.llm import ann, components, contamination, groups, langid, lines, mixing, quality, simhash, substring, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use within themselves or return.
@@ -491,6 +491,17 @@ def test_long_lines_are_compared_as_a_whole(spark):
     assert found == {1: 0, 2: 1, 3: 1, 4: 1, 9: 0}
 
 
+@pytest.mark.parametrize("n", [100, 200])
+def test_groups_of_copies_have_about_as_many_edges_as_members(monkeypatch, spark, n):
+    draw, sizes = random.Random(5), []
+    rows = [(key, c) for key in range(40) for c in draw.sample(range(n), n // 2)]
+    monkeypatch.setattr(groups, "connected", lambda edges: sizes.append(edges.count()) or components.connected(edges))
+    linked = lambda pairs, _: pairs.withColumns({"j": F.lit(1.0), "linked": F.lit(True)})
+    found, roots = groups.links_by_pivots(spark.createDataFrame(rows, "key long, c long"), [], linked, lambda a, b: F.lit(True), lambda a, b: F.lit(True))
+    assert {r["root"] for r in components.connected(found).collect()} == {0} and roots.count() == n
+    assert sizes[0] <= 1.5 * n
+
+
 def test_line_fingerprints_of_any_length(spark):
     draw = np.random.default_rng(1)
     rows = [(n, draw.integers(-(2**63), 2**63 - 1, n).tolist()) for n in (0, 1, 2, 5, 126, 127, 128, 129, 254, 255, 1000)]
