@@ -106,36 +106,36 @@ def _lines(own: DataFrame) -> DataFrame:
 
 
 def _similar(a: str, b: str) -> Column:
-    """Whether two lines, as arrays of words, have the edit similarity wanted.
+    """Whether two normalised lines have the edit similarity wanted.
 
-    Words that both begin with, and then those that both end with, leave the distance as it is and
-    are taken off. Lines of which few words differ are near, whatever these are; what is left is
-    compared within bands about the diagonal, narrow ones first.
+    Lines are as far apart as their lengths at least, which is looked at first, of the whole lines. Words
+    that both begin with, and then those that both end with, are taken off. Lines of which few words differ
+    are near, whatever these are; what is left is compared within bands about the diagonal, narrow ones first.
     """
     same = "coalesce(nullif(array_position(zip_with({x}, {y}, (p, q) -> coalesce(p = q, false)), false), 0) - 1, size({x}))"
     head = same.format(x="v.a", y="v.b")
     tail = "least(" + same.format(x="reverse(u.a)", y="reverse(u.b)") + ", size(u.a), size(u.b))"
-    rest = "array_join(slice({x}, 1, size({x}) - {n}), ' ')"
     # Word by word, lines of as many words are at least as near as their words' distances say.
     most = "if(size(u.a) = size(u.b), aggregate(zip_with(u.a, u.b, (p, q) -> if(p = q, 0, levenshtein(p, q))), 0, (s, x) -> s + x), null)"
     # A changed word costs its letters and a blank at most, so that lines are at least as near as the edit distance of their words says, each written as one character.
     coded = "array_join(transform({x}, w -> chr(array_position(d, w))), '')"
     changes = "cast(u.limit div array_max(transform(d, w -> char_length(w) + 1)) as int)"
     few = _once("array_distinct(concat(u.a, u.b))", "d", f"if(size(d) <= {CODES}, levenshtein({coded.format(x='u.a')}, {coded.format(x='u.b')}, {changes}) >= 0, false)")
-    limit = f"cast(floor((1 - {SIMILARITY}) * greatest(length(array_join({a}, ' ')), length(array_join({b}, ' '))) + 1e-9) as int)"
+    limit = f"cast(floor((1 - {SIMILARITY}) * greatest(char_length({a}), char_length({b})) + 1e-9) as int)"
     within = " or ".join(["levenshtein(m.a, m.b, least(m.limit, {})) >= 0".format(BANDS[0]), *(f"(m.limit > {n} and levenshtein(m.a, m.b, least(m.limit, {more})) >= 0)" for n, more in zip(BANDS, [*BANDS[1:], "m.limit"], strict=True))])
     steps = [
-        f"array(named_struct('a', {a}, 'b', {b}, 'limit', {limit}))",
+        f"array(named_struct('a', split({a}, ' '), 'b', split({b}, ' '), 'limit', {limit}))",
         f"v -> named_struct('p', {head}, 'a', v.a, 'b', v.b, 'limit', v.limit)",
         "v -> named_struct('a', slice(v.a, v.p + 1, size(v.a)), 'b', slice(v.b, v.p + 1, size(v.b)), 'limit', v.limit)",
-        f"u -> named_struct('n', cast({tail} as int), 'near', coalesce({most} <= u.limit, false) or coalesce({few}, false), 'a', u.a, 'b', u.b, 'limit', u.limit)",
-        f"u -> if(u.near, null, named_struct('a', {rest.format(x='u.a', n='u.n')}, 'b', {rest.format(x='u.b', n='u.n')}, 'limit', u.limit))",
-        f"m -> m is null or (abs(length(m.a) - length(m.b)) <= m.limit and ({within}))",
+        f"u -> named_struct('n', cast({tail} as int), 'a', u.a, 'b', u.b, 'limit', u.limit)",
+        "u -> named_struct('a', slice(u.a, 1, size(u.a) - u.n), 'b', slice(u.b, 1, size(u.b) - u.n), 'limit', u.limit)",
+        f"u -> if(coalesce({most} <= u.limit, false) or coalesce({few}, false), null, named_struct('a', array_join(u.a, ' '), 'b', array_join(u.b, ' '), 'limit', u.limit))",
+        f"m -> m is null or ({within})",
     ]
     out = steps[0]
     for step in steps[1:]:
         out = f"transform({out}, {step})"
-    return F.expr(f"{out}[0]")
+    return F.expr(f"if(abs(char_length({a}) - char_length({b})) <= {limit}, {out}[0], false)")
 
 
 def _masks() -> list[int]:
@@ -185,7 +185,7 @@ def _links(exact: DataFrame, own: DataFrame) -> DataFrame:
     places = wanted.join(exact.hint("merge"), "c").groupBy("first.id").agg(F.collect_list(F.struct("first.pos", "c", "fp")).alias("at"))
     # Lines are taken out of a text before they part, so that none carries the whole text along.
     taken = _once("split(text, '\\n')", "t", "transform(at, p -> named_struct('c', p.c, 'fp', p.fp, 'line', t[p.pos]))")
-    texts = own.join(places.hint("broadcast" if few else "merge"), "id").select(F.explode(F.expr(taken)).alias("p")).select("p.c", "p.fp", F.expr(_once(PLAIN.format("p.line"), "line", WORDS)).alias("norm"))
+    texts = own.join(places.hint("broadcast" if few else "merge"), "id").select(F.explode(F.expr(taken)).alias("p")).select("p.c", "p.fp", F.array_join(F.expr(_once(PLAIN.format("p.line"), "line", WORDS)), " ").alias("norm"))
     # Rows can repeat an id.
     texts = Stored(texts.groupBy("c").agg(F.first("fp").alias("fp"), F.first("norm").alias("norm")), "texts").df
 

@@ -491,6 +491,17 @@ def test_long_lines_are_compared_as_a_whole(spark):
     assert found == {1: 0, 2: 1, 3: 1, 4: 1, 9: 0}
 
 
+def test_blanks_of_inserted_words_count(spark):
+    # 44 characters of 220, blanks included, are near; 45 of 221 are not, though the words without their last blank are 44.
+    words = [x * 8 for x in "bcdefghijklmnopqrst"] + ["uuuuuu"]
+    rows = [(1, " ".join(words)[:176]), (2, " ".join([*words[:9], *["abcd"] * 8, "abc", *words[9:]])[:220])]
+    rows += [(i + 2, t.replace("bbbb", "vvvv")) for i, t in rows[:1]] + [(4, " ".join([*words[:9], *["abcd"] * 9, *words[9:]])[:221].replace("bbbb", "vvvv"))]
+    assert [len(t) for _, t in rows] == [176, 220, 176, 221]
+    found = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert brute_lines(rows) == {(2, 0)}
+
+
 @pytest.mark.parametrize("n", [100, 200])
 def test_groups_of_copies_have_about_as_many_edges_as_members(monkeypatch, spark, n):
     draw, sizes = random.Random(5), []
