@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loopscope.llm import groups
 from loopscope.llm.components import connected
-from loopscope.llm.tables import Stored
+from loopscope.llm.tables import Stored, setting
 
 #: Differing bits and edit similarity of linked lines.
 BITS, SIMILARITY = 5, 0.8
@@ -35,10 +35,14 @@ BANDS = (16, 128, 1024)
 #: Different words that can be written as one character each.
 CODES = 255
 
-#: Bits of a fingerprint, and keys that are grouped at once, which bounds what is on disk.
+#: Bits of a fingerprint, and bundles of keys that are gathered at once, which bounds what is in memory and on disk.
 WIDTH, RUN = 60, 9
+#: Free bits of the vectors of a bundle, at most; fingerprints that come together, were they spread evenly, and how many of them make the bundles smaller.
+FREE, GATHERED, MOST_GATHERED = 2, 1 << 14, 1 << 17
 #: Keys, or places of lines, that are handed to all tasks, at most (some 25 MB); more are joined by sorting.
 HANDED = 500_000
+#: Bits for a place among gathered fingerprints, and how many groups an aggregate of lists takes before it sorts its rows.
+_PLACE, _FALLBACK = 28, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: A one in each of 15 half bytes and in each of seven bytes of four bits, hashes that a half byte can count, and parts of as many hashes that are counted at once.
 _HALVES, _NIBBLES, _FEW, _PARTS = 0x111111111111111, 0x0F0F0F0F0F0F0F0F, 15, 4
 #: A one in each of seven bytes, what spreads the last bits over them, and hashes that a byte can count with room for a carry.
@@ -101,7 +105,9 @@ def _lines(own: DataFrame) -> DataFrame:
     # Words are taken outside of lambda functions, so that this is compiled.
     parts = own.select("id", F.posexplode(F.expr(f"split({PLAIN.format('text')}, '\\n')")).alias("pos", "line")).where(F.trim("line") != "")
     lines = parts.select("id", "pos", F.expr(WORDS).alias("ws"))
-    hashed = lines.select("id", "pos", F.xxhash64("ws").alias("h"), F.hash("ws").alias("g"), F.expr(hashes_of("ws")).alias("hs"))
+    # One string is hashed faster than its words; they have no blanks.
+    hashed = lines.select("id", "pos", F.array_join("ws", " ").alias("norm"), F.expr(hashes_of("ws")).alias("hs"))
+    hashed = hashed.select("id", "pos", F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), "hs")
     return hashed.select("id", "pos", "h", "g", F.expr(simhash("hs")).alias("fp"))
 
 
@@ -138,6 +144,11 @@ def _similar(a: str, b: str) -> Column:
     return F.expr(f"if(abs(char_length({a}) - char_length({b})) <= {limit}, {out}[0], false)")
 
 
+def _mask(v: int) -> int:
+    """The bits of a fingerprint that key ``v`` is made of, those whose vectors have an odd number of ones in common with v."""
+    return sum(1 << i for i in range(WIDTH) if ((1 + i % ((2 << BITS) - 1)) & v).bit_count() % 2)
+
+
 def _masks() -> list[int]:
     """The bits that each key of a fingerprint is made of; two fingerprints that differ in at most BITS bits agree in all bits of one.
 
@@ -145,14 +156,41 @@ def _masks() -> list[int]:
     of ones in common with v. The vectors of BITS bits leave one dimension at least, so that some v has an even number in common with each
     of them; its key has none of these bits.
     """
-    vectors = [1 + i % ((2 << BITS) - 1) for i in range(WIDTH)]
-    return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, 2 << BITS)]
+    return [_mask(v) for v in range(1, 2 << BITS)]
+
+
+def _bundles(free: int) -> list[list[int]]:
+    """The masks in bundles of up to 2 ** free that have bits in common, so that fingerprints alike in any key of a bundle are alike in these.
+
+    The vectors that differ only in their last ``free`` bits share those bits that all of them have an odd number of ones in common with:
+    ones whose own vectors end in ``free`` zeros. The vectors without any other bits are dealt out by fewer free bits.
+    """
+    size = 1 << free
+    whole = [[_mask(v + k) for k in range(size)] for v in range(size, 2 << BITS, size)]
+    return whole + [[_mask(v) for v in range(size >> k + 1, size >> k)] for k in range(free)]
+
+
+def _lowest(mask: int, n: int) -> int:
+    """The lowest ``n`` bits of a mask."""
+    return sum(1 << i for i in [i for i in range(WIDTH) if mask >> i & 1][:n])
 
 
-def _keys(prints: DataFrame, masks: list[int]) -> DataFrame:
-    """(key, c, fp): the keys of every fingerprint (c, fp) by ``masks``."""
-    longs = [F.lit(m).cast("long") for m in masks]
-    return prints.select(F.explode(F.array([F.xxhash64(m, F.col("fp").bitwiseAND(m)) for m in longs])).alias("key"), "c", "fp")
+def _gathered(prints: DataFrame, n: int, bundles: list[list[int]]) -> DataFrame:
+    """(m, fp): the different fingerprints (fp), ``n`` of them, whose keys by a mask m of the bundles others have too.
+
+    Fingerprints come together by bits that a bundle shares, once for all of its masks. For each mask they are sorted, as numbers of which
+    the upper bits are a hash of the key and the lower ones a place; keys that only seem equal do no harm.
+    """
+    shared = [_lowest(reduce(int.__and__, bundle), (n // GATHERED).bit_length()) for bundle in bundles]
+    own = F.inline(F.array([F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(shared)]))
+    lists = prints.select("fp", own).groupBy("k", "bits").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    masks = F.array([F.array([F.lit(m).cast("long") for m in bundle]) for bundle in bundles])
+    keyed = lists.select("fps", F.explode(F.get(masks, F.col("k"))).alias("m"))
+    # What sorts and compares neighbours is not in lambda functions, so that it is compiled. No list is empty; a plain explode would first ask that and sort for it.
+    order = keyed.select("m", "fps", F.sort_array(F.expr(f"transform(fps, (x, i) -> (xxhash64(x & m) & {-1 << _PLACE}L) | i)")).alias("order"))
+    alike = [f"coalesce((s ^ get(order, i {way} 1)) & {-1 << _PLACE}L = 0, false)" for way in "+-"]
+    places = order.select("m", "fps", "order", F.posexplode_outer("order").alias("i", "s")).where(" or ".join(alike))
+    return places.select("m", F.expr(f"get(fps, cast(s & {(1 << _PLACE) - 1}L as int))").alias("fp"))
 
 
 def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
@@ -161,24 +199,27 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
 
 def _links(exact: DataFrame, own: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what linked lines of ``exact`` (c, first, fp), each once, connect; their texts are in ``own`` (id, text)."""
-    prints = exact.where("fp is not null").select("c", "fp")
-    masks = _masks()
-    runs = [masks[k : k + RUN] for k in range(0, len(masks), RUN)]
-
-    def grouped(run: list[int]) -> DataFrame:
-        # Of two lines all there is to know is in the sums of their key.
-        return _keys(prints, run).groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b"), F.expr("bit_xor(fp ^ c)").alias("x")).where("n > 1")
-
-    sizes = reduce(DataFrame.unionByName, [Stored(grouped(run), "keys").df for run in runs])
-    pairs = sizes.where((F.col("n") == 2) & (F.bit_count(F.expr("x ^ a ^ b")) <= BITS)).select("a", "b")
-    # Keys of the same lines, which have the same sums, count once.
-    several = Stored(sizes.where("n > 2").groupBy("n", "a", "b", "x").agg(F.min("key").alias("key")).select("key", "n"), "several").df
-    # Tables that follow the documents are joined by sorting, but for keys of several lines while these are few.
-    several = several.hint("broadcast" if several.count() <= HANDED else "merge")
-    shared = reduce(DataFrame.unionByName, [Stored(_keys(prints, run).join(several, "key"), "shared").df for run in runs])
-    pairs = pairs.unionByName(groups.pairs_within(shared.where(F.col("n") <= PAIRED), ["fp"], _near))
-    pairs = Stored(pairs.distinct(), "candidates").df
-    many = shared.where(F.col("n") > PAIRED).select("key", "c", "fp")
+    prints = Stored(exact.where("fp is not null").select("c", "fp"), "prints").df
+    different = Stored(prints.groupBy("fp").agg(F.count("*").alias("n")), "different").df
+    n = different.count()
+    # The bits that a bundle shares halve with each free bit.
+    bundles = _bundles(next((free for free in range(FREE, 0, -1) if n >> (WIDTH >> free + 1) <= MOST_GATHERED), 0))
+    runs = [bundles[k : k + RUN] for k in range(0, len(bundles), RUN)]
+    with setting(exact.sparkSession, _FALLBACK, str(1 << 30)):
+        gathered = reduce(DataFrame.unionByName, [Stored(_gathered(different.select("fp"), n, run), "keys").df for run in runs])
+    keyed = gathered.select(F.xxhash64("m", F.col("fp").bitwiseAND(F.col("m"))).alias("key"), "fp")
+    sums = [F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.expr("bit_xor(xxhash64(fp))").alias("x")]
+    # Keys of the same fingerprints, which have the same sums, count once; keys of two that are too far apart don't.
+    several = keyed.groupBy("key").agg(*sums).where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.expr("a ^ b")) <= BITS)))
+    several = Stored(several.groupBy("n", "a", "b", "x").agg(F.min("key").alias("key")), "several").df
+    members = keyed.join(several.where("n > 2").select("key"), "key").unionByName(several.where("n = 2").select("key", F.explode(F.array("a", "b")).alias("fp")))
+    # So do the lines of one fingerprint.
+    own_key = different.where("n > 1").select(F.xxhash64("fp").alias("key"), "fp")
+    shared = Stored(members.unionByName(own_key).join(prints, "fp").select("key", "c", "fp"), "shared").df
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
+    pairs = groups.pairs_within(shared.join(sizes.where(F.col("n") <= PAIRED), "key"), ["fp"], _near)
+    pairs = Stored(pairs, "candidates").df
+    many = shared.join(sizes.where(F.col("n") > PAIRED), "key").select("key", "c", "fp")
 
     wanted = Stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).union(many.select("c")).distinct(), "wanted").df
     few = wanted.count() <= HANDED
@@ -226,7 +267,7 @@ def dedup_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # The lines are an input column of what follows the join, so that a text is split once.
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col.lower()])
     found = docs.select(others.alias("row"), F.split(F.col(text_col), "\n").alias("lines"), F.col(id_col).cast("long").alias("key"))
-    found = found.join(Stored(gone, "gone").df.hint("merge"), F.col("key") == F.col("id"), "left")
+    found = found.join(Stored(gone, "gone").df.hint("shuffle_hash"), F.col("key") == F.col("id"), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
     count = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))

@@ -69,6 +69,17 @@ def scratch() -> Iterator[Callable[[Stored], Stored]]:
             outer += kept
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session, for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Stored:
     """A DataFrame written as Parquet to the shared folder and read again.
 
@@ -80,12 +91,8 @@ class Stored:
         self.spark = df.sparkSession
         self.path = new_folder(self.spark, label)
         # What was shuffled for this table is of no use once it is written.
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with setting(self.spark, _CLEANUP, "true"):
             df.write.option("compression", compression).parquet(self.path)
-        finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         made = _made.get()
         if made is not None:

@@ -8,6 +8,7 @@ import os
 import random
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -502,6 +503,25 @@ def test_blanks_of_inserted_words_count(spark):
     assert brute_lines(rows) == {(2, 0)}
 
 
+@pytest.mark.parametrize("free", [0, 1, 2])
+def test_bundles_have_every_key_once_and_bits_in_common(free):
+    bundles = lines._bundles(free)
+    assert sorted(m for b in bundles for m in b) == sorted(lines._masks())
+    assert all(reduce(int.__and__, b).bit_count() >= (lines.WIDTH >> free + 1) - 1 for b in bundles)
+    assert len(bundles) == (64 >> free) - 1 + free
+
+
+@pytest.mark.parametrize(("free", "n"), [(0, 400), (1, 400), (2, 400), (2, 1 << 40)])
+def test_fingerprints_come_together_once_for_all_keys_of_a_bundle(spark, free, n):
+    draw = random.Random(5)
+    prints = {draw.getrandbits(lines.WIDTH) for _ in range(200)}
+    prints |= {x ^ sum(1 << b for b in draw.sample(range(lines.WIDTH), lines.BITS)) for x in list(prints)}
+    bundles = lines._bundles(free)
+    gathered = lines._gathered(spark.createDataFrame([(x,) for x in prints], "fp long"), n, bundles)
+    sizes = {m: Counter(x & m for x in prints) for b in bundles for m in b}
+    assert sorted(map(tuple, gathered.collect())) == sorted((m, x) for m, keys in sizes.items() for x in prints if keys[x & m] > 1)
+
+
 @pytest.mark.parametrize("n", [100, 200])
 def test_groups_of_copies_have_about_as_many_edges_as_members(monkeypatch, spark, n):
     draw, sizes = random.Random(5), []
