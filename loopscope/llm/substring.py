@@ -63,12 +63,22 @@ def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def stretches(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, windows) of each stretch of one document's word hashes."""
-    if len(hashes) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = _runs(hashes, anchor)
-    at = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1).argmin(1) + np.arange(len(hashes) - window + 1)
+    return stretches_of([hashes], window, anchor)[:3]
+
+
+def stretches_of(lists: list[np.ndarray], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of several documents at once, one after another, and where those of each begin and end."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    ends, doc = np.cumsum(sizes), np.repeat(np.arange(len(lists)), sizes)
+    # Windows that reach into the next document are none.
+    windows = np.flatnonzero(np.arange(len(doc)) + window <= ends[doc])
+    if not len(windows):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(lists) + 1, np.int64)
+    grams = _runs(np.concatenate(lists), anchor)
+    at = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1).argmin(1)[windows] + windows
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return grams[at[first]], first, np.diff(np.append(first, len(at)))
+    owners = doc[windows[first]]
+    return grams[at[first]], windows[first] - (ends - sizes)[owners], np.diff(np.append(first, len(at))), np.searchsorted(owners, np.arange(len(lists) + 1))
 
 
 def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -173,9 +183,14 @@ def _anchors(rows: DataFrame, window: int, anchor: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [np.unique(stretches(_hashed(x.as_py().split(), known), window, anchor)[0]) for x in batch.column(1)]
-                docs = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(docs)], ["anchor", "doc"])
+                anchors, _, _, bounds = stretches_of([_hashed(x.as_py().split(), known) for x in batch.column(1)], window, anchor)
+                places = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+                order = np.lexsort((anchors, places))
+                anchors, places = anchors[order], places[order]
+                once = np.ones(len(anchors), bool)
+                once[1:] = (anchors[1:] != anchors[:-1]) | (places[1:] != places[:-1])
+                docs = batch.column(0).to_numpy()[places[once]]
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[once].view(np.int64)), pa.array(docs)], ["anchor", "doc"])
 
     return rows.select("doc", "text").mapInArrow(make, "anchor long, doc long")
 
@@ -188,10 +203,7 @@ def _stretches(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """
     names = ["route", "c1", "c2", "n", "content", "doc", "row", "at"]
 
-    def cut_up(text: bytes, shared: np.ndarray, cut: np.ndarray, known: _Hashes) -> tuple:
-        words = text.split()
-        hashes = _hashed(words, known)
-        anchors, first, n = stretches(hashes, window, anchor)
+    def cut_up(words: list[bytes], hashes: np.ndarray, anchors: np.ndarray, first: np.ndarray, n: np.ndarray, shared: np.ndarray, cut: np.ndarray) -> tuple:
         whole, single = _among(anchors, shared), np.flatnonzero(_among(anchors, cut))
         windows = np.concatenate([np.arange(first[k], first[k] + n[k]) for k in single]) if len(single) else first[:0]
         starts, n = np.concatenate([first[whole], windows]), np.concatenate([n[whole], np.ones(len(windows), np.int64)])
@@ -208,7 +220,11 @@ def _stretches(rows: DataFrame, window: int, anchor: int) -> DataFrame:
             for at in range(0, whole.num_rows, 200):
                 docs, ids, texts, *lists = whole.slice(at, 200).columns
                 shared, cut = ([x.values.to_numpy().view(np.uint64) for x in column] for column in lists)
-                found = [cut_up(t.as_py(), a, b, known) for t, a, b in zip(texts, shared, cut, strict=True)]
+                words = [t.as_py().split() for t in texts]
+                hashes = [_hashed(x, known) for x in words]
+                *own, bounds = stretches_of(hashes, window, anchor)
+                parts = [[x[a:b] for x in own] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                found = [cut_up(w, h, *p, a, b) for w, h, p, a, b in zip(words, hashes, parts, shared, cut, strict=True)]
                 route, c1, c2, n, starts = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1, 2, 3, 5))
                 sizes = [len(f[4]) for f in found]
                 columns = [*map(pa.array, (route, c1, c2, n)), pa.array([p for f in found for p in f[4]], pa.binary()), *(pa.array(np.repeat(x.to_numpy(), sizes)) for x in (docs, ids)), pa.array(starts)]

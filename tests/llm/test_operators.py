@@ -200,6 +200,18 @@ def test_repeated_passages(monkeypatch, docs, clashing, none, corpus, cut, shard
     assert substring.remove_repeated(none).count() == 0
 
 
+def test_stretches_of_several_documents_are_those_of_each():
+    draw = np.random.default_rng(2)
+    lists = [draw.integers(0, 40, n).astype(np.uint64) for n in (0, 30, 12, 13, 200, 0, 5, 14, 0)]
+    *found, bounds = substring.stretches_of(lists)
+    for hashes, a, b in zip(lists, bounds[:-1], bounds[1:], strict=True):
+        grams = substring._runs(hashes, substring.ANCHOR).tolist()
+        width = substring.WINDOW - substring.ANCHOR + 1
+        at = [min(range(k, k + width), key=grams.__getitem__) for k in range(len(hashes) - substring.WINDOW + 1)]
+        first = [k for k in range(len(at)) if k == 0 or at[k] != at[k - 1]]
+        assert [x[a:b].tolist() for x in found] == [[grams[at[k]] for k in first], first, [y - x for x, y in zip(first, [*first[1:], len(at)])]]
+
+
 def test_wavelet_ranks_and_backward_search():
     draw = np.random.default_rng(1)
     text = draw.integers(0, 11, 500)
