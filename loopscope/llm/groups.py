@@ -63,12 +63,13 @@ def links_by_pivots(left: DataFrame, info: list[str], verified: Callable[[DataFr
     joined = Stored(_union([by_first_pivots(_union(found)), *paired]), "links").df
     roots = Stored(connected(joined), "roots").df
     found = [roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))]
-    for marked in apart:
-        near = marked.where(~F.col("linked")).join(roots.toDF("c", "root"), "c", "left").join(roots.toDF("p", "root_p"), "p").where(F.coalesce("root", "c") != F.col("root_p"))
-        near = near.select("key", *[F.col(x).alias(f"{x}_a") for x in ("c", "j", *info)])
-        linked = marked.where("linked").select("key", *[F.col(x).alias(f"{x}_b") for x in ("c", "j", *info)])
-        reached = near.join(linked, "key").where(reach(lambda n: F.col(f"{n}_a"), lambda n: F.col(f"{n}_b")))
-        found.append(verified(reached.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), False).where("linked").select("a", "b"))
+    # The rounds' items go together, so that what is left to compare is compared once.
+    marked = _union([x.withColumn("round", F.lit(k)) for k, x in enumerate(apart)])
+    near = marked.where(~F.col("linked")).join(roots.toDF("c", "root"), "c", "left").join(roots.toDF("p", "root_p"), "p").where(F.coalesce("root", "c") != F.col("root_p"))
+    near = near.select("key", "round", *[F.col(x).alias(f"{x}_a") for x in ("c", "j", *info)])
+    linked = marked.where("linked").select("key", "round", *[F.col(x).alias(f"{x}_b") for x in ("c", "j", *info)])
+    reached = near.join(linked, ["key", "round"]).where(reach(lambda n: F.col(f"{n}_a"), lambda n: F.col(f"{n}_b")))
+    found.append(verified(reached.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), False).where("linked").select("a", "b"))
     return Stored(_union(found), "links").df, roots
 
 

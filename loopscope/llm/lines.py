@@ -43,10 +43,10 @@ FREE, GATHERED, MOST_GATHERED = 2, 1 << 14, 1 << 17
 HANDED = 500_000
 #: Bits for a place among gathered fingerprints, and how many groups an aggregate of lists takes before it sorts its rows.
 _PLACE, _FALLBACK = 28, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-#: A one in each of 15 half bytes and in each of seven bytes of four bits, hashes that a half byte can count, and parts of as many hashes that are counted at once.
+#: A one in each of 15 half bytes, the lower halves of eight bytes, hashes that a half byte can count, and parts of as many hashes that are counted at once.
 _HALVES, _NIBBLES, _FEW, _PARTS = 0x111111111111111, 0x0F0F0F0F0F0F0F0F, 15, 4
-#: A one in each of seven bytes, what spreads the last bits over them, and hashes that a byte can count with room for a carry.
-_ONES, _SPREAD, _MOST = 0x0001010101010101, 0x0002040810204081, 127
+#: Hashes that a byte can count with room for a sign.
+_MOST = 127
 
 #: SQL of a text in lower case with plain blanks, and of the words of its variable ``line``.
 PLAIN = r"replace(replace(lower({}), '\t', ' '), '\r', ' ')"
@@ -65,10 +65,16 @@ def hashes_of(words: str) -> str:
     return f"if(size({words}) >= {LEAST_WORDS}, {long}, {_once(f"split(array_join({words}, ' '), '')", 'cs', threes)})"
 
 
-def _lanes(hashes: str) -> list[str]:
-    """SQL for nine numbers whose bytes count bits of up to 127 hashes: number k < 8 bits k, 8 + k, ... 48 + k, the last bits 56 to 59."""
-    count = f"aggregate({hashes}, 0L, (s, x) -> s + ({{}} & {_ONES}L))"
-    return [count.format(f"shiftrightunsigned(x, {k})") for k in range(8)] + [count.format(f"(shiftrightunsigned(x, 56) & 15L) * {_SPREAD}L")]
+def _parts(hashes: str, n: int) -> str:
+    """SQL for a column of hashes in parts of up to ``n``."""
+    return f"transform(sequence(0, (size({hashes}) - 1) div {n}), c -> slice({hashes}, c * {n} + 1, {n}))"
+
+
+def _lanes(hashes: str) -> str:
+    """SQL for eight numbers whose bytes count bits of up to 127 hashes: byte j of number k bit 8 j + k. Half bytes count 15 hashes first."""
+    halves = [f"aggregate(few, 0L, (s, x) -> s + (shiftrightunsigned(x, {k}) & {_HALVES}L))" for k in range(4)]
+    lanes = [f"aggregate(hs, 0L, (t, h) -> t + (shiftrightunsigned(h[{k}], {high}) & {_NIBBLES}L))" for high in (0, 4) for k in range(4)]
+    return _once(f"transform({_parts(hashes, _FEW)}, few -> array({', '.join(halves)}))", "hs", f"array({', '.join(lanes)})")
 
 
 def _counted(hashes: str) -> str:
@@ -88,10 +94,8 @@ def _counted(hashes: str) -> str:
 
 def simhash(hashes: str) -> str:
     """SQL for the fingerprint of a column of hashes: each bit is set if it is in over half of them; null without hashes."""
-    parts = f"transform(sequence(0, (size({hashes}) - 1) div {_MOST}), c -> slice({hashes}, c * {_MOST} + 1, {_MOST}))"
-    lane, byte = "if(b < 56, b % 8, 8)", "if(b < 56, cast(b div 8 as int), b - 56)"
-    total = f"aggregate(ps, 0L, (t, ls) -> t + (shiftrightunsigned(ls[{lane}], 8 * {byte}) & 255L))"
-    many = _once(f"transform({parts}, part -> array({', '.join(_lanes('part'))}))", "ps", f"aggregate(sequence(0, {WIDTH - 1}), 0L, (s, b) -> s | if(2 * {total} > size({hashes}), shiftleft(1L, b), 0L))")
+    total = "aggregate(ps, 0L, (t, ls) -> t + (shiftrightunsigned(ls[b % 8], 8 * cast(b div 8 as int)) & 255L))"
+    many = _once(f"transform({_parts(hashes, _MOST)}, part -> {_lanes('part')})", "ps", f"aggregate(sequence(0, {WIDTH - 1}), 0L, (s, b) -> s | if(2 * {total} > size({hashes}), shiftleft(1L, b), 0L))")
     # Not in branches, in which what is used twice would be made twice.
     few = f"size({hashes}) <= {_FEW * _PARTS}"
     return f"((({_counted(hashes)}) & if({hashes} is null, null, if({few}, -1L, 0L))) | if({hashes} is null or {few}, 0L, {many}))"
@@ -114,15 +118,16 @@ def _lines(own: DataFrame) -> DataFrame:
 def _similar(a: str, b: str) -> Column:
     """Whether two normalised lines have the edit similarity wanted.
 
-    Lines are as far apart as their lengths at least, which is looked at first, of the whole lines. Words
-    that both begin with, and then those that both end with, are taken off. Lines of which few words differ
-    are near, whatever these are; what is left is compared within bands about the diagonal, narrow ones first.
+    Lines are as far apart as their lengths at least, which is looked at first, of the whole lines. Those of as
+    many words are compared word by word. If that does not do, words that both begin with, and then those that
+    both end with, are taken off. Lines of which few words differ are near, whatever these are; what is left is
+    compared within bands about the diagonal, narrow ones first.
     """
+    # Word by word, lines of as many words are at least as near as their words' distances say.
+    most = "if(size(v.a) = size(v.b), aggregate(zip_with(v.a, v.b, (p, q) -> if(p = q, 0, levenshtein(p, q))), 0, (s, x) -> s + x), null)"
     same = "coalesce(nullif(array_position(zip_with({x}, {y}, (p, q) -> coalesce(p = q, false)), false), 0) - 1, size({x}))"
     head = same.format(x="v.a", y="v.b")
     tail = "least(" + same.format(x="reverse(u.a)", y="reverse(u.b)") + ", size(u.a), size(u.b))"
-    # Word by word, lines of as many words are at least as near as their words' distances say.
-    most = "if(size(u.a) = size(u.b), aggregate(zip_with(u.a, u.b, (p, q) -> if(p = q, 0, levenshtein(p, q))), 0, (s, x) -> s + x), null)"
     # A changed word costs its letters and a blank at most, so that lines are at least as near as the edit distance of their words says, each written as one character.
     coded = "array_join(transform({x}, w -> chr(array_position(d, w))), '')"
     changes = "cast(u.limit div array_max(transform(d, w -> char_length(w) + 1)) as int)"
@@ -130,18 +135,19 @@ def _similar(a: str, b: str) -> Column:
     limit = f"cast(floor((1 - {SIMILARITY}) * greatest(char_length({a}), char_length({b})) + 1e-9) as int)"
     within = " or ".join(["levenshtein(m.a, m.b, least(m.limit, {})) >= 0".format(BANDS[0]), *(f"(m.limit > {n} and levenshtein(m.a, m.b, least(m.limit, {more})) >= 0)" for n, more in zip(BANDS, [*BANDS[1:], "m.limit"], strict=True))])
     steps = [
-        f"array(named_struct('a', split({a}, ' '), 'b', split({b}, ' '), 'limit', {limit}))",
+        "array(v)",
         f"v -> named_struct('p', {head}, 'a', v.a, 'b', v.b, 'limit', v.limit)",
         "v -> named_struct('a', slice(v.a, v.p + 1, size(v.a)), 'b', slice(v.b, v.p + 1, size(v.b)), 'limit', v.limit)",
         f"u -> named_struct('n', cast({tail} as int), 'a', u.a, 'b', u.b, 'limit', u.limit)",
         "u -> named_struct('a', slice(u.a, 1, size(u.a) - u.n), 'b', slice(u.b, 1, size(u.b) - u.n), 'limit', u.limit)",
-        f"u -> if(coalesce({most} <= u.limit, false) or coalesce({few}, false), null, named_struct('a', array_join(u.a, ' '), 'b', array_join(u.b, ' '), 'limit', u.limit))",
+        f"u -> if(coalesce({few}, false), null, named_struct('a', array_join(u.a, ' '), 'b', array_join(u.b, ' '), 'limit', u.limit))",
         f"m -> m is null or ({within})",
     ]
     out = steps[0]
     for step in steps[1:]:
         out = f"transform({out}, {step})"
-    return F.expr(f"if(abs(char_length({a}) - char_length({b})) <= {limit}, {out}[0], false)")
+    both = f"named_struct('a', split({a}, ' '), 'b', split({b}, ' '), 'limit', {limit})"
+    return F.expr(f"if(abs(char_length({a}) - char_length({b})) <= {limit}, {_once(both, 'v', f'coalesce({most} <= v.limit, false) or {out}[0]')}, false)")
 
 
 def _mask(v: int) -> int:
@@ -197,9 +203,31 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= BITS
 
 
-def _links(exact: DataFrame, own: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect what linked lines of ``exact`` (c, first, fp), each once, connect; their texts are in ``own`` (id, text)."""
-    prints = Stored(exact.where("fp is not null").select("c", "fp"), "prints").df
+class Places:
+    """The place of a line, (id, pos), as one value in its order: a number if all places of ``lines`` have room in its 63 bits, which aggregates and joins take faster, else a struct."""
+
+    def __init__(self, lines: DataFrame):
+        ends = lines.agg(F.min("id"), F.max("id"), F.max("pos")).first()
+        low, high, last = (x or 0 for x in ends)
+        self.low, self.size = low, last + 1
+        self.packed = (high - low + 1) * self.size < 1 << 63
+
+    def of(self) -> Column:
+        return (F.col("id") - F.lit(self.low).cast("long")) * F.lit(self.size).cast("long") + F.col("pos") if self.packed else F.struct("id", "pos")
+
+    def id(self, name: str) -> Column:
+        return F.expr(f"{name} div {self.size}L") + F.lit(self.low).cast("long") if self.packed else F.col(f"{name}.id")
+
+    def pos(self, name: str) -> Column:
+        return F.expr(f"cast({name} % {self.size}L as int)") if self.packed else F.col(f"{name}.pos")
+
+
+def _links(exact: DataFrame, own: DataFrame, at: Places) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that connect what linked lines of ``exact`` (c, first, h, g, fp), each once, connect, and (c, first, h, g) of all lines that edges can have.
+
+    Their texts are in ``own`` (id, text).
+    """
+    prints = exact.where("fp is not null").select("c", "fp", "first", "h", "g")
     different = Stored(prints.groupBy("fp").agg(F.count("*").alias("n")), "different").df
     n = different.count()
     # The bits that a bundle shares halve with each free bit.
@@ -215,15 +243,17 @@ def _links(exact: DataFrame, own: DataFrame) -> DataFrame:
     members = keyed.join(several.where("n > 2").select("key"), "key").unionByName(several.where("n = 2").select("key", F.explode(F.array("a", "b")).alias("fp")))
     # So do the lines of one fingerprint.
     own_key = different.where("n > 1").select(F.xxhash64("fp").alias("key"), "fp")
-    shared = Stored(members.unionByName(own_key).join(prints, "fp").select("key", "c", "fp"), "shared").df
+    shared = Stored(members.unionByName(own_key).join(prints, "fp").select("key", "c", "fp", "first", "h", "g"), "shared").df
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
-    pairs = groups.pairs_within(shared.join(sizes.where(F.col("n") <= PAIRED), "key"), ["fp"], _near)
+    pairs = groups.pairs_within(shared.select("key", "c", "fp").join(sizes.where(F.col("n") <= PAIRED), "key"), ["fp"], _near)
     pairs = Stored(pairs, "candidates").df
     many = shared.join(sizes.where(F.col("n") > PAIRED), "key").select("key", "c", "fp")
 
-    wanted = Stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).union(many.select("c")).distinct(), "wanted").df
+    # What is wanted of a line came with its keys, so that not all lines are looked through for it.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(many.select("c")).distinct()
+    wanted = Stored(wanted.join(shared.drop("key").distinct().hint("merge"), "c"), "wanted").df
     few = wanted.count() <= HANDED
-    places = wanted.join(exact.hint("merge"), "c").groupBy("first.id").agg(F.collect_list(F.struct("first.pos", "c", "fp")).alias("at"))
+    places = wanted.select(at.id("first").alias("id"), F.struct(at.pos("first").alias("pos"), "c", "fp").alias("p")).groupBy("id").agg(F.collect_list("p").alias("at"))
     # Lines are taken out of a text before they part, so that none carries the whole text along.
     taken = _once("split(text, '\\n')", "t", "transform(at, p -> named_struct('c', p.c, 'fp', p.fp, 'line', t[p.pos]))")
     texts = own.join(places.hint("broadcast" if few else "merge"), "id").select(F.explode(F.expr(taken)).alias("p")).select("p.c", "p.fp", F.array_join(F.expr(_once(PLAIN.format("p.line"), "line", WORDS)), " ").alias("norm"))
@@ -236,13 +266,14 @@ def _links(exact: DataFrame, own: DataFrame) -> DataFrame:
         return both.select("a", "b", F.lit(0.0).alias("j"), F.when(near, _similar("na", "nb")).otherwise(False).alias("linked"))
 
     found = groups.links_by_pivots(many, ["fp"], verified, _near, _near)
+    ends = wanted.select("c", "first", "h", "g")
     if found is None:
-        return verified(pairs).where("linked").select("a", "b")
+        return verified(pairs).where("linked").select("a", "b"), ends
     in_many, roots = found
     # Pairs that links join already aren't compared.
     known = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
     left = known.where("ra is null or rb is null or ra <> rb").select("a", "b")
-    return verified(left).where("linked").select("a", "b").unionByName(in_many)
+    return verified(left).where("linked").select("a", "b").unionByName(in_many), ends
 
 
 def dedup_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,28 +282,30 @@ def dedup_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     As a struct the other columns can have any names. For the rest see ``dedup_lines``.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    place = F.struct("id", "pos")
     lines = Stored(_lines(own), "lines").df
+    at = Places(lines)
+    place = at.of()
     # A line's number is a hash of its first place.
     exact = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"))
-    exact = Stored(exact.withColumn("c", F.xxhash64("first.id", "first.pos")), "exact").df
-    roots = connected(Stored(_links(exact, own), "edges").df)
-    ends = Stored(exact.join(roots.toDF("c", "root").hint("merge"), "c").select("c", "h", "g", "first", "root"), "ends").df
+    exact = Stored(exact.withColumn("c", F.xxhash64("first")), "exact").df
+    edges, ends = _links(exact, own, at)
+    roots = connected(Stored(edges, "edges").df)
+    ends = Stored(ends.join(roots.toDF("c", "root").hint("merge"), "c").select("c", "h", "g", "first", "root"), "ends").df
     grouped = ends.join(ends.groupBy("root").agg(F.min("first").alias("kept")), "root").select("h", "g", "kept")
 
     # Every occurrence of a line but the place kept goes.
     repeated = exact.where("n > 1").join(ends.select("c").hint("merge"), "c", "left_anti").select("h", "g", F.col("first").alias("kept"))
     firsts = grouped.unionByName(repeated)
     gone = lines.join(Stored(firsts, "firsts").df.hint("merge"), ["h", "g"]).where(place != F.col("kept")).groupBy("id").agg(F.collect_set("pos").alias("gone"))
-    # The lines are an input column of what follows the join, so that a text is split once.
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col.lower()])
-    found = docs.select(others.alias("row"), F.split(F.col(text_col), "\n").alias("lines"), F.col(id_col).cast("long").alias("key"))
+    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n")))
+    found = docs.select(others.alias("row"), F.col(text_col).alias("text"), count.alias("n_lines"), F.col(id_col).cast("long").alias("key"))
     found = found.join(Stored(gone, "gone").df.hint("shuffle_hash"), F.col("key") == F.col("id"), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
-    count = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
-    removed = F.when(F.col("lines").isNull() | F.col("gone").isNull(), 0).otherwise(F.size("gone"))
-    return found.select("row", F.array_join(left, "\n").alias("text"), count.alias("n_lines"), removed.alias("n_removed"))
+    # Only texts that lose lines are split, each once.
+    stay = "array_join(transform(array_except(sequence(0, size(t) - 1), gone), i -> get(t, i)), '\n')"
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(_once("split(text, '\n')", "t", stay)))
+    removed = F.when(F.col("text").isNull() | F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return found.select("row", left.alias("text"), "n_lines", removed.alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -545,6 +545,36 @@ def test_groups_of_copies_have_about_as_many_edges_as_members(monkeypatch, spark
     assert sizes[0] <= 1.5 * n
 
 
+def test_what_rounds_of_pivots_leave_is_compared_at_once(spark):
+    calls = []
+
+    def linked(pairs, whole):
+        calls.append(whole)
+        return pairs.withColumns({"j": F.lit(0.0), "linked": (F.col("a") - F.col("b")) % 10 == 0})
+
+    rows = [(0, c) for c in range(60)]
+    found, _ = groups.links_by_pivots(spark.createDataFrame(rows, "key long, c long"), [], linked, lambda a, b: F.lit(True), lambda a, b: F.lit(True))
+    roots = {r["node"]: r["root"] for r in components.connected(found).collect()}
+    assert roots == {c: c % 10 for c in range(60)}
+    # Four rounds, what they leave, and what they reach.
+    assert calls == [True] * groups.ROUNDS + [False] * 2
+
+
+@pytest.mark.parametrize(("ids", "packed"), [((-(2**63), 2**63 - 1, 0, 7), False), ((-(2**63), -(2**63) + 3, -(2**63) + 1, -(2**63) + 2), True), ((2**63 - 1, 2**63 - 4, 2**63 - 3, 2**63 - 2), True), ((3, -4, 0, 9), True)])
+def test_places_of_any_ids_are_in_order(spark, ids, packed):
+    base = [f"bravos{k} charlie{k}" for k in range(12)]
+    one, two = " ".join(base), " ".join([*base, "a"])
+    rows = [(i, f"line {i % 1000}\n\n{x}\nTotal: 12\nTotal: 12") for i, x in zip(ids, (one, two, one, one), strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.Places(lines._lines(df.withColumnRenamed("doc_id", "id")))
+    places = df.select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")).withColumn("place", found.of())
+    assert found.packed == packed and [(r[0], r[1]) for r in places.orderBy("place").collect()] == [(i, k) for i in sorted(ids) for k in range(5)]
+    assert places.where((found.id("place") != F.col("id")) | (found.pos("place") != F.col("pos"))).count() == 0
+    gone = brute_lines(rows)
+    left = [(i, "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone), 5, len([p for j, p in gone if j == i])) for i, t in rows]
+    assert len(gone) == 10 and rows_of(lines.dedup_lines(df)) == sorted(left, key=repr)
+
+
 def test_line_fingerprints_of_any_length(spark):
     draw = np.random.default_rng(1)
     rows = [(n, draw.integers(-(2**63), 2**63 - 1, n).tolist()) for n in (0, 1, 2, 5, 126, 127, 128, 129, 254, 255, 1000)]
