@@ -44,7 +44,7 @@ HANDED = 500_000
 #: Bits for a place among gathered fingerprints, and how many groups an aggregate of lists takes before it sorts its rows.
 _PLACE, _FALLBACK = 28, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: A one in each of 15 half bytes, the lower halves of eight bytes, hashes that a half byte can count, and parts of as many hashes that are counted at once.
-_HALVES, _NIBBLES, _FEW, _PARTS = 0x111111111111111, 0x0F0F0F0F0F0F0F0F, 15, 4
+_HALVES, _NIBBLES, _FEW, _PARTS = 0x111111111111111, 0x0F0F0F0F0F0F0F0F, 15, 8
 #: Hashes that a byte can count with room for a sign.
 _MOST = 127
 
@@ -78,7 +78,7 @@ def _lanes(hashes: str) -> str:
 
 
 def _counted(hashes: str) -> str:
-    """SQL for the fingerprint of up to 60 hashes, without lambda functions, so that it is compiled."""
+    """SQL for the fingerprint of up to 120 hashes, without lambda functions, so that it is compiled where it stands apart from such."""
     parts = [range(_FEW * p, _FEW * (p + 1)) for p in range(_PARTS)]
     halves = [[" + ".join(f"(shiftrightunsigned(coalesce(get({hashes}, {i}), 0L), {k}) & {_HALVES}L)" for i in part) for part in parts] for k in range(4)]
     # Byte j of the bytes of half byte lane k counts bit 8 j + k, or 8 j + 4 + k; over half the hashes reach bit 6 of it with 63 less half added.
@@ -92,12 +92,18 @@ def _counted(hashes: str) -> str:
     return " | ".join(out)
 
 
-def simhash(hashes: str) -> str:
-    """SQL for the fingerprint of a column of hashes: each bit is set if it is in over half of them; null without hashes."""
+def simhash(hashes: str, counted: str | None = None) -> str:
+    """SQL for the fingerprint of a column of hashes: each bit is set if it is in over half of them; null without hashes.
+
+    ``counted`` is a column that has that of few hashes already.
+    """
     total = "aggregate(ps, 0L, (t, ls) -> t + (shiftrightunsigned(ls[b % 8], 8 * cast(b div 8 as int)) & 255L))"
     many = _once(f"transform({_parts(hashes, _MOST)}, part -> {_lanes('part')})", "ps", f"aggregate(sequence(0, {WIDTH - 1}), 0L, (s, b) -> s | if(2 * {total} > size({hashes}), shiftleft(1L, b), 0L))")
-    # Not in branches, in which what is used twice would be made twice.
     few = f"size({hashes}) <= {_FEW * _PARTS}"
+    if counted:
+        # Used twice, the column stays in a projection of its own.
+        return f"if({hashes} is null, null, if({few} and {counted} is not null, {counted}, {many}))"
+    # Not in branches, in which what is used twice would be made twice.
     return f"((({_counted(hashes)}) & if({hashes} is null, null, if({few}, -1L, 0L))) | if({hashes} is null or {few}, 0L, {many}))"
 
 
@@ -111,8 +117,8 @@ def _lines(own: DataFrame) -> DataFrame:
     lines = parts.select("id", "pos", F.expr(WORDS).alias("ws"))
     # One string is hashed faster than its words; they have no blanks.
     hashed = lines.select("id", "pos", F.array_join("ws", " ").alias("norm"), F.expr(hashes_of("ws")).alias("hs"))
-    hashed = hashed.select("id", "pos", F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), "hs")
-    return hashed.select("id", "pos", "h", "g", F.expr(simhash("hs")).alias("fp"))
+    hashed = hashed.select("id", "pos", F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), "hs", F.expr(_counted("hs")).alias("few"))
+    return hashed.select("id", "pos", "h", "g", F.expr(simhash("hs", "few")).alias("fp"))
 
 
 def _similar(a: str, b: str) -> Column:

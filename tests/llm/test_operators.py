@@ -594,6 +594,17 @@ def test_line_fingerprints_about_the_sizes_of_parts(spark):
     assert found == {(n, kind): sum(1 << b for b in range(lines.WIDTH) if 2 * sum(h >> b & 1 for h in hashes) > n) for n, kind, hashes in rows}
 
 
+def test_lines_of_up_to_120_words_are_counted_in_compiled_form(spark):
+    draw = random.Random(6)
+    rows = [(n, " ".join("".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(n))) for n in (1, 5, 59, 60, 61, 119, 120, 121, 130, 300)]
+    made = lines._lines(spark.createDataFrame(rows, "id long, text string"))
+    assert {r["id"]: r["fp"] for r in made.collect()} == {i: line_print(t) for i, t in rows}
+    # In a stage of generated code, that nothing interpreted is in.
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    stage = [x for x in plan.split("\n") if "*(" in x and "Project" in x and "119]" in x]
+    assert stage and "lambda" not in stage[0]
+
+
 def test_no_lines(none):
     assert lines.dedup_lines(none).count() == 0
 
